@@ -1,0 +1,35 @@
+"""Registered queries of the training-data operators: each reads whole tables and whole texts."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gradeloom.llm import leaks, textform
+from gradeloom.session import table
+
+
+def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Every document and test item it leaks, with the tiles and the coverage of the item."""
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "internal_dev"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_leaks(spark, d).where(F.col("longest") >= leaks.TILE_WORDS).select("doc_id", "idx").distinct()
+
+
+def p7_normalized(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with its text in the common form."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return textform.normalize_texts(docs).select("doc_id", "text_form", (~F.col("text").eqNullSafe(F.col("text_form"))).alias("changed"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return textform.look_alike_pairs(table(spark, d, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (p6_found, p6_leaks, p7_found, p7_normalized)
+}
