@@ -7,10 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm import leaks, textform
+from gradeloom.llm import defects, leaks, neardup, textform
 from gradeloom.session import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return defects.defects(table(spark, d, "dm_large_train"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_duplicate_pairs(table(spark, d, "dm_large_train"))
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every record with its group, and the recorded question hash that its group's other records don't share."""
+    groups = neardup.near_duplicates(table(spark, d, "dm_large_train"))
+    recorded = table(spark, d, "schedule_manifest").where("arm = 'dm_large'").groupBy(F.col("schedule_idx").alias("train_idx")).agg(F.min("source_question_hash").alias("source_question_hash"))
+    return groups.join(recorded, "train_idx", "left")
+
+
 def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
     """Every document and test item it leaks, with the tiles and the coverage of the item."""
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "internal_dev"))
@@ -31,5 +46,5 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p6_found, p6_leaks, p7_found, p7_normalized)
+    f.__name__: f for f in (p2_found, p4_found, p4_groups, p6_found, p6_leaks, p7_found, p7_normalized)
 }
