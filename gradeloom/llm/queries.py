@@ -7,10 +7,70 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm import defects, leaks, neardup, textform
+from gradeloom.llm import calibration, defects, leaks, mixing, neardup, packing, textform
+from gradeloom.llm.language import language
 from gradeloom.session import table
 
 
+def _capacity(spark: SparkSession, d: str) -> int:
+    return table(spark, d, "context_limit").where("limit_name = 'train'").agg(F.max("capacity_tokens")).first()[0]
+
+
+def _mix(spark: SparkSession, d: str) -> mixing.Mix:
+    @F.pandas_udf("string")
+    def spoken(texts):
+        return texts.map(language)
+
+    asked = table(spark, d, "dm_large_train").where("train_idx is not null").select(F.lit("dm_large").alias("arm"), F.col("train_idx").alias("schedule_idx"), spoken("question").alias("language"))
+    asked = asked.groupBy("arm", "schedule_idx").agg(F.min("language").alias("language"))
+    return mixing.mix(table(spark, d, "schedule_manifest"), table(spark, d, "mix_target"), asked)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d).report.where("not reachable").select("arm", "source")
+
+
+def p1_mixed_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Every copy of every row of the mixture."""
+    return _mix(spark, d).rows()
+
+
+def p1_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of each source."""
+    plan = _mix(spark, d)
+    return plan.shares(plan.rows())
+
+
+def _calibration(spark: SparkSession, d: str) -> calibration.Calibration:
+    rows = table(spark, d, "schedule_manifest").where("arm = 'dm_large' and repeat_id = 0")
+    return calibration.calibrate(rows, table(spark, d, "sample_target"), "schedule_idx", ["topic", "difficulty_bucket", "solution_token_decile", "prompt_token_decile"])
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _calibration(spark, d).report.where("unmet").select("dimension", "category")
+
+
+def p3_sample(spark: SparkSession, d: str) -> DataFrame:
+    """The sampled rows with their categories."""
+    return _calibration(spark, d).sample()
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    """Every target with what is eligible, expected and sampled."""
+    plan = _calibration(spark, d)
+    return plan.sampled_report(plan.sample())
+
+
+def p5_sequences(spark: SparkSession, d: str) -> DataFrame:
+    """Every document piece with its training sequence and its place in it."""
+    return packing.pack_texts(table(spark, d, "documents"), _capacity(spark, d))
+
+
+def p5_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, tokens and fill of each training sequence."""
+    return packing.fills(p5_sequences(spark, d), _capacity(spark, d))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return defects.defects(table(spark, d, "dm_large_train"))
 
@@ -46,5 +106,5 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p4_found, p4_groups, p6_found, p6_leaks, p7_found, p7_normalized)
+    f.__name__: f for f in (p1_found, p1_mixed_rows, p1_shares, p2_found, p3_found, p3_sample, p3_report, p4_found, p4_groups, p5_sequences, p5_fill, p6_found, p6_leaks, p7_found, p7_normalized)
 }
