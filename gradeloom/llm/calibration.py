@@ -130,8 +130,8 @@ def calibrate(rows: DataFrame, targets: DataFrame, key: str, dimensions: list[st
         return pd.Series(_chances([c.tolist() for c in columns], used, index, order, multipliers))
 
     chances = frame.withColumn("chance", chance(*[F.col(d) for d in used]) if used else F.lit(0.0))
-    expected = add_up(cells, lambda batch: _moments(batch, used, index, order, multipliers)[:1]) if used else None
-    expected = np.zeros(len(order)) if expected is None else expected[0]
+    sums = add_up(cells, lambda batch: _moments(batch, used, index, order, multipliers)[:2]) if used else None
+    expected = np.zeros(len(order)) if sums is None else sums[0] + sums[1]
     lines = [
         (t.dimension, t.listed, t.share, t.floor, t.eligible, eligible[t.dimension], t.rows, float(e), t.eligible < t.floor or t.eligible < t.share * int(rate * eligible[t.dimension]))
         for t, e in zip(order, expected)
@@ -148,32 +148,40 @@ def _indices(columns: list[list], used: list[str], index: dict) -> np.ndarray:
     return out
 
 
+def _fixed(at: np.ndarray, order: list[Target]) -> np.ndarray:
+    """Whether a row belongs to a category that needs all its rows."""
+    whole = np.array([t.whole and t.rows > 0 for t in order] + [False])
+    return np.where(at >= 0, whole[np.maximum(at, -1)], False).any(axis=1)
+
+
 def _chances(columns: list[list], used: list[str], index: dict, order: list[Target], multipliers: np.ndarray) -> np.ndarray:
     at = _indices(columns, used, index)
-    whole = np.array([t.whole and t.rows > 0 for t in order] + [False])
     z = np.where(at >= 0, np.append(multipliers, 0.0)[np.maximum(at, -1)], 0.0).sum(axis=1)
     p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     p[(at == -2).any(axis=1) | (at == -1).all(axis=1)] = 0.0
-    p[np.where(at >= 0, whole[at], False).any(axis=1)] = 1.0
+    p[_fixed(at, order)] = 1.0
     return p
 
 
-def _moments(batch, used, index, order, multipliers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(category sums of the chances, their derivatives by the multipliers, the dual's first part)."""
-    columns = [batch[d].tolist() for d in used]
-    at = _indices(columns, used, index)
+def _moments(batch, used, index, order, multipliers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(category sums of the chances that are 1, of the others, their derivatives, the dual's first part)."""
+    at = _indices([batch[d].tolist() for d in used], used, index)
     n = batch["n"].to_numpy().astype(float)
-    p = _chances(columns, used, index, order, multipliers)
+    p = _chances([batch[d].tolist() for d in used], used, index, order, multipliers)
     m = len(order)
-    first, second = np.zeros(m + 1), np.zeros((m + 1, m + 1))
     safe = np.where(at >= 0, at, m)
-    bent = np.where((p > 0) & (p < 1), n * p * (1 - p), 0.0)
+    fixed = _fixed(at, order)
+    free = (p > 0) & ~fixed
+    first, second, sure = np.zeros(m + 1), np.zeros((m + 1, m + 1)), np.zeros(m + 1)
+    mean, bent = np.where(free, n * p, 0.0), np.where(free, n * p * (1 - p), 0.0)
     for a in range(len(used)):
-        np.add.at(first, safe[:, a], n * p)
+        np.add.at(first, safe[:, a], mean)
+        np.add.at(sure, safe[:, a], np.where(fixed, n, 0.0))
         for b in range(len(used)):
             np.add.at(second, (safe[:, a], safe[:, b]), bent)
-    dual = -(n * np.log1p(-np.minimum(p, 1 - 1e-12)))[(p > 0) & (p < 1)].sum()
-    return first[:m], second[:m, :m], np.array([dual])
+    z = np.append(multipliers, 0.0)[safe].sum(axis=1)
+    dual = (n * np.logaddexp(0.0, np.clip(z, -40, 40)))[free].sum()
+    return sure[:m], first[:m], second[:m, :m], np.array([dual])
 
 
 def _solve(cells: DataFrame, order: list[Target], used: list[str], rate: float) -> np.ndarray:
@@ -181,19 +189,22 @@ def _solve(cells: DataFrame, order: list[Target], used: list[str], rate: float)
     m = len(order)
     index = {(t.dimension, t.category): i for i, t in enumerate(order)}
     multipliers = np.full(m, np.log(rate / (1 - rate)) / max(1, len(used)))
-    want = np.array([t.rows for t in order])
     free = np.array([not t.whole and t.rows > 0 for t in order], bool)
     multipliers[[not t.whole and t.rows <= 0 for t in order]] = -40.0
-    if not free.any():
-        return multipliers
     start = multipliers.copy()
 
+    def sums_at(x: np.ndarray):
+        return add_up(cells, lambda batch: _moments(batch, used, index, order, x))
+
+    sums = sums_at(multipliers)
+    if sums is None or not free.any():
+        return multipliers
+    want = np.maximum(0.0, np.array([t.rows for t in order]) - sums[0])[free]  # what the fixed rows leave open
+
     def at(x: np.ndarray):
-        sums = add_up(cells, lambda batch: _moments(batch, used, index, order, x))
-        slack = SLACK * (x - start)[free]
-        gradient = sums[0][free] - want[free] + slack
-        dual = sums[2][0] - (x * want)[free].sum() + SLACK / 2 * ((x - start)[free] ** 2).sum()
-        return dual, gradient, sums[1][np.ix_(free, free)] + SLACK * np.eye(free.sum())
+        _, first, second, dual = sums_at(x)
+        off = (x - start)[free]
+        return dual[0] - x[free] @ want + SLACK / 2 * (off @ off), first[free] - want + SLACK * off, second[np.ix_(free, free)] + SLACK * np.eye(free.sum())
 
     value, gradient, hessian = at(multipliers)
     for _ in range(STEPS):

@@ -211,7 +211,10 @@ def defect(question: str | None, answer: str | None, model: TerminalModel) -> st
 
 
 def fit_terminal_model(pairs: DataFrame, key: str, answer: str, sample_rows: int = SAMPLE_ROWS) -> TerminalModel:
-    sample = pairs.where(F.length(answer) >= 60).select(F.xxhash64(F.col(key), F.col(answer)).alias("h"), answer).orderBy("h").limit(sample_rows)
+    """Fitted on the ``sample_rows`` rows with the smallest hashes; a bound on the hash keeps what is sent small."""
+    share = min(1.0, 4.0 * sample_rows / max(1, pairs.count()))
+    hashed = pairs.where(F.length(answer) >= 60).select(F.xxhash64(F.col(key), F.col(answer)).alias("h"), answer)
+    sample = hashed.where(F.col("h") <= int((2 * share - 1) * ((1 << 63) - 1))).orderBy("h").limit(sample_rows)
     return TerminalModel.fit([r[1] for r in sample.collect()])
 
 

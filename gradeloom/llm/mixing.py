@@ -20,8 +20,9 @@ from gradeloom.llm.moments import MAX_CATEGORIES, add_up
 from gradeloom.llm.pivotal import pivotal_sample
 from gradeloom.session import materialize
 
-SWEEPS = 30
-CLOSE = 1e-4
+#: Rounds of raking, and the change of the factors at which they end.
+SWEEPS = 12
+CLOSE = 1e-3
 
 
 @dataclass
@@ -46,7 +47,8 @@ class Mix:
         joined = self.report.join(out.withColumnRenamed("source", "_s"), (F.col("_s") == as_category(self.report.source)) & (out.arm == self.report.arm), "left").drop(out.arm).drop("_s")
         joined = joined.join(totals, "arm", "left")
         zero = ["mixed_rows", "mixed_tokens", "most_repeats", "mixed_total"]
-        return joined.na.fill(0, zero).withColumn("actual_share", F.col("mixed_tokens") / F.greatest(F.col("mixed_total"), F.lit(1)))
+        actual = F.col("mixed_tokens") / F.greatest(F.col("mixed_total"), F.lit(1))
+        return joined.na.fill(0, zero).withColumn("actual_share", actual).withColumn("share_of_pool", F.col("mixed_tokens") / F.greatest(F.col("total_tokens"), F.lit(1)))
 
 
 def mix(manifest: DataFrame, targets: DataFrame, languages: DataFrame | None = None, seed: str = "mix-v1") -> Mix:

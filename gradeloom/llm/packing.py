@@ -164,17 +164,7 @@ def pack(sizes: DataFrame, key: str, capacity: int, block_items: int = BLOCK_ITE
     for turn in range(20):
         blocks = max(1, -(-left.count() // block_items))
 
-        def fill_bins(part: pd.DataFrame, turn=turn, last=blocks == 1) -> pd.DataFrame:
-            part = part.sort_values(["n_tokens", key, "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-            size = part["n_tokens"].tolist()
-            bins = local_search(best_fit(size, capacity), size, capacity)
-            order = [i for b in bins for i in b]
-            done = part.iloc[order].copy()
-            done["sequence_id"] = [f"{turn}-{part['_block'].iloc[0]}-{n}" for n, b in enumerate(bins) for _ in b]
-            done["place"] = np.array([p for b in bins for p in range(len(b))], np.int32)
-            done["_full"] = [last or sum(size[i] for i in b) >= FULL * capacity for b in bins for _ in b]
-            return done[schema.names]
-
+        fill_bins = _filler(key, capacity, turn, blocks == 1, schema.names)
         dealt = left.withColumn("_block", F.pmod(F.xxhash64(F.lit(turn), key, "piece"), F.lit(blocks)))
         packed = materialize(dealt.groupBy("_block").applyInPandas(fill_bins, schema), "packed")
         out = out.unionByName(packed.where("_full").drop("_full"))
@@ -184,6 +174,22 @@ def pack(sizes: DataFrame, key: str, capacity: int, block_items: int = BLOCK_ITE
     raise RuntimeError("the underfull bins did not become fewer")
 
 
+def _filler(key: str, capacity: int, turn: int, last: bool, names: list[str]):
+    """The bins of one block."""
+
+    def fill_bins(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["n_tokens", key, "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        size = part["n_tokens"].tolist()
+        bins = local_search(best_fit(size, capacity), size, capacity)
+        done = part.iloc[[i for b in bins for i in b]].copy()
+        done["sequence_id"] = [f"{turn}-{part['_block'].iloc[0]}-{n}" for n, b in enumerate(bins) for _ in b]
+        done["place"] = np.array([p for b in bins for p in range(len(b))], np.int32)
+        done["_full"] = [last or sum(size[i] for i in b) >= FULL * capacity for b in bins for _ in b]
+        return done[names]
+
+    return fill_bins
+
+
 def pack_texts(docs: DataFrame, capacity: int, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
     """``pack`` of the token sizes of whole texts; a key delivered again is packed once."""
     return pack(materialize(token_sizes(docs, key, text, tokenizer), "sizes"), key, capacity)
