@@ -19,8 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gradeloom.operators.pairs import pairs_within
+from gradeloom.session import materialize
 
 # Letters of other scripts whose glyphs equal a Latin letter's.
 LOOK_ALIKES = {
@@ -166,8 +168,6 @@ def look_keys(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(look, pa.binary()), pa.array(stored, pa.binary())], names=["key", "look", "stored"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null and length(text) > 0")
-    from pyspark.sql import types as T
-
     schema = T.StructType([T.StructField("key", kind), T.StructField("look", T.BinaryType()), T.StructField("stored", T.BinaryType())])
     return rows.mapInArrow(digest, schema)
 
@@ -179,6 +179,6 @@ def look_alike_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     made in salted blocks, so a look that many rows share does not fall to one task. A key that is delivered
     several times with the same text counts once.
     """
-    return pairs_within(look_keys(docs, key, text), "look", "key", "stored").select(
+    return pairs_within(materialize(look_keys(docs, key, text), "looks"), "look", "key", "stored").select(
         F.col("id_a").alias(f"{key}_a"), F.col("id_b").alias(f"{key}_b")
     )
