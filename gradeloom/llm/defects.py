@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gradeloom.llm.few import few_rows
 from gradeloom.llm.language import language
 
 #: Most rows the model of terminal contexts is fitted on (those with the smallest hashes of the key).
@@ -211,11 +212,9 @@ def defect(question: str | None, answer: str | None, model: TerminalModel) -> st
 
 
 def fit_terminal_model(pairs: DataFrame, key: str, answer: str, sample_rows: int = SAMPLE_ROWS) -> TerminalModel:
-    """Fitted on the ``sample_rows`` rows with the smallest hashes; a bound on the hash keeps what is sent small."""
-    share = min(1.0, 4.0 * sample_rows / max(1, pairs.count()))
-    hashed = pairs.where(F.length(answer) >= 60).select(F.xxhash64(F.col(key), F.col(answer)).alias("h"), answer)
-    sample = hashed.where(F.col("h") <= int((2 * share - 1) * ((1 << 63) - 1))).orderBy("h").limit(sample_rows)
-    return TerminalModel.fit([r[1] for r in sample.collect()])
+    """Fitted on at most ``sample_rows`` rows."""
+    sample = few_rows(pairs.where(F.length(answer) >= 60), sample_rows, [key, answer], [answer])
+    return TerminalModel.fit([r[answer] for r in sample])
 
 
 def defects(pairs: DataFrame, key: str = "train_idx", question: str = "question", answer: str = "answer", sample_rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -21,11 +21,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gradeloom.functions.questions import normal_question
+from gradeloom.llm.few import few_rows
 from gradeloom.operators.graph import connected_components
 from gradeloom.operators.pairs import pairs_within
 from gradeloom.session import materialize
@@ -34,7 +35,7 @@ PIECE = 5
 #: 32 bands of 6 min-hashes, as two one-permutation sketches of 96 bins.
 BINS, SKETCHES, ROWS = 96, 2, 6
 BANDS = BINS * SKETCHES // ROWS
-BITS, PIVOTS = 2048, 32
+BITS, PIVOTS = 1024, 16
 #: Most keys that are sent to all workers at once; above it they are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 
@@ -80,7 +81,7 @@ def bands(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     top = np.uint64(0xFFFFFFFFFFFFFFFF)
     sketches = []
     for s in range(SKETCHES):
-        h = _mix(hashes + np.uint64(s + 1) * _M1)
+        h = _mix(hashes + np.uint64((s + 1) * int(_M1) % (1 << 64)))
         least = np.full(n * BINS, top)
         np.minimum.at(least, owner * BINS + (h % np.uint64(BINS)).astype(np.int64), h)
         least = least.reshape(n, BINS)
@@ -118,12 +119,19 @@ def alike(a: str, b: str) -> bool:
     return 4 * both >= 3 * (len(x) + len(y) - both)
 
 
+PRINTS = [f"f{i}" for i in range(BITS // 64)]
+#: Four 16-bit distances in each.
+DISTANCES = [f"d{i}" for i in range(PIVOTS // 4)]
+
+
 def _signatures(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """(key, text_id, n, prints, distances, bands); a text that was seen before in its batch has no signature."""
-    schema = T.StructType(
-        [T.StructField("key", rows.schema["key"].dataType), T.StructField("text_id", T.LongType()), T.StructField("n", T.IntegerType())]
-        + [T.StructField("distances", T.BinaryType()), T.StructField("bands", T.ArrayType(T.IntegerType()))]
-    )
+    """(key, text_id, n, fingerprint and pivot distances as longs, bands).
+
+    A text that is empty or was seen before in its batch has no signature (n is 0 and the rest null).
+    """
+    fields = [T.StructField("key", rows.schema["key"].dataType), T.StructField("text_id", T.LongType()), T.StructField("n", T.IntegerType())]
+    fields += [T.StructField(c, T.LongType()) for c in PRINTS + DISTANCES] + [T.StructField("bands", T.ArrayType(T.IntegerType()))]
+    schema = T.StructType(fields)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,55 +142,45 @@ def _signatures(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
                 if t:
                     first.setdefault(ids[i], i)
             at = np.array(sorted(first.values()), np.int64)
-            n = np.full(len(texts), 0, np.int32)
-            distances: list = [None] * len(texts)
-            lists: list = [None] * len(texts)
+            n = np.zeros(len(texts), np.int32)
+            longs = np.zeros((len(texts), len(PRINTS) + len(DISTANCES)), np.int64)
+            lists = np.zeros((len(texts), BANDS), np.int32)
             for lo in range(0, len(at), 2000):
                 part = at[lo : lo + 2000]
                 hashes, owner = pieces([texts[i] for i in part])
-                near = pivot_distances(fingerprints(hashes, owner, len(part)), pivots)
-                keys = bands(hashes, owner, len(part))
+                prints = fingerprints(hashes, owner, len(part))
+                near = np.ascontiguousarray(pivot_distances(prints, pivots))
+                longs[part] = np.concatenate([prints.view(np.int64), near.view(np.int64)], axis=1)
+                lists[part] = bands(hashes, owner, len(part))
                 n[part] = np.bincount(owner, minlength=len(part))
-                for row, i in enumerate(part.tolist()):
-                    distances[i] = near[row].tobytes()
-                    lists[i] = keys[row]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ids, pa.int64()), pa.array(n), pa.array(distances, pa.binary()), pa.array(lists, pa.list_(pa.int32()))],
-                names=[f.name for f in schema],
-            )
+            none = np.ones(len(texts), bool)
+            none[at] = False
+            ends = np.concatenate(([0], np.cumsum(np.where(none, 0, BANDS)))).astype(np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(lists[~none].ravel()), mask=pa.array(none))
+            columns = [batch.column(0), pa.array(ids, pa.int64()), pa.array(n)]
+            columns += [pa.array(np.ascontiguousarray(longs[:, j]), mask=none) for j in range(longs.shape[1])] + [listed]
+            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
     return rows.mapInArrow(sign, schema)
 
 
-def _survives(pairs: DataFrame) -> DataFrame:
-    """Pairs whose largest difference of pivot distances is within the bound."""
+def _apart_by_pivots() -> Column:
+    """The largest difference of two texts' distances to one pivot."""
+    one = lambda side, c, j: F.shiftright(F.col(f"{side}.{c}"), 16 * j).bitwiseAND(F.lit(0xFFFF))
+    return F.greatest(*[F.abs(one("x", c, j) - one("y", c, j)) for c in DISTANCES for j in range(4)])
 
-    @F.pandas_udf("boolean")
-    def near(da: pd.Series, db: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
-        if not len(da):
-            return pd.Series([], dtype=bool)
-        a = np.frombuffer(b"".join(da), np.int16).reshape(len(da), -1).astype(np.int32)
-        b = np.frombuffer(b"".join(db), np.int16).reshape(len(db), -1).astype(np.int32)
-        return pd.Series(7 * np.abs(a - b).max(axis=1) <= (na + nb).to_numpy())
 
-    return pairs.where(near("da", "db", "na", "nb"))
+def _apart() -> Column:
+    """The Hamming distance of two texts' fingerprints."""
+    return sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in PRINTS), F.lit(0))
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose fingerprints and then whole texts (ta, tb) are alike."""
+    """Pairs (a, b) whose whole texts (ta, tb) are alike."""
 
     @F.pandas_udf("boolean")
     def same(ta: pd.Series, tb: pd.Series) -> pd.Series:
-        out = np.zeros(len(ta), bool)
-        x, y = [normal_question(t) for t in ta], [normal_question(t) for t in tb]
-        for lo in range(0, len(x), 1000):
-            u, v = x[lo : lo + 1000], y[lo : lo + 1000]
-            (hu, ou), (hv, ov) = pieces(u), pieces(v)
-            apart = np.bitwise_count(fingerprints(hu, ou, len(u)) ^ fingerprints(hv, ov, len(v))).sum(axis=1)
-            bound = np.bincount(ou, minlength=len(u)) + np.bincount(ov, minlength=len(v))
-            for i in np.flatnonzero(7 * apart.astype(np.int64) <= bound).tolist():
-                out[lo + i] = alike(u[i], v[i])
-        return pd.Series(out)
+        return pd.Series([alike(normal_question(x), normal_question(y)) for x, y in zip(ta, tb)], dtype=bool)
 
     return pairs.where(same("ta", "tb")).select("a", "b")
 
@@ -195,13 +193,12 @@ def _pick(table: DataFrame, keys: DataFrame, on: str) -> DataFrame:
 
 def _links(pairs: DataFrame, signed: DataFrame, source: DataFrame) -> DataFrame:
     """The candidate pairs (a, b) of text ids that hold."""
-    pairs = materialize(pairs, "candidates")
-    side = signed.where("distances is not null").groupBy("text_id").agg(F.min(F.struct("key", "n", "distances")).alias("s"))
-    wanted = pairs.select(F.col("a").alias("text_id")).union(pairs.select(F.col("b").alias("text_id"))).distinct()
-    side = _pick(side, materialize(wanted, "ids"), "text_id").select("text_id", "s.*")
-    a = side.select(F.col("text_id").alias("a"), F.col("key").alias("ka"), F.col("n").alias("na"), F.col("distances").alias("da"))
-    b = side.select(F.col("text_id").alias("b"), F.col("key").alias("kb"), F.col("n").alias("nb"), F.col("distances").alias("db"))
-    left = materialize(_survives(pairs.join(a, "a").join(b, "b")).select("a", "b", "ka", "kb"), "survivors")
+    of_text = signed.where("n > 0").groupBy("text_id").agg(F.min("key").alias("key"), *[F.first(c).alias(c) for c in ["n", *PRINTS, *DISTANCES]])
+    x, y = of_text.alias("x"), of_text.alias("y")
+    joined = pairs.alias("p").join(x, F.col("p.a") == F.col("x.text_id")).join(y, F.col("p.b") == F.col("y.text_id"))
+    bound = F.col("x.n") + F.col("y.n")
+    left = joined.where((7 * _apart_by_pivots() <= bound) & (7 * _apart() <= bound)).select("p.a", "p.b", F.col("x.key").alias("ka"), F.col("y.key").alias("kb"))
+    left = materialize(left, "survivors")
     keys = materialize(left.select(F.col("ka").alias("key")).union(left.select(F.col("kb").alias("key"))).distinct(), "keys")
     texts = _pick(source, keys, "key").groupBy("key").agg(F.min("text").alias("text"))
     ta = texts.select(F.col("key").alias("ka"), F.col("text").alias("ta"))
@@ -218,15 +215,13 @@ def near_duplicates(rows: DataFrame, key: str = "train_idx", text: str = "questi
     once; rows with a null key are left out.
     """
     source = rows.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("key is not null")
-    chosen = [r[1] for r in source.where("length(text) >= 5").select(F.xxhash64("text").alias("h"), "text").distinct().orderBy("h").limit(PIVOTS).collect()]
+    chosen = [r["text"] for r in few_rows(source.where(F.length("text") >= PIECE), PIVOTS, ["key"], ["text"])]
     hashes, owner = pieces([normal_question(t) for t in chosen] or ["pivot"])
     pivots = fingerprints(hashes, owner, max(1, len(chosen)))
     signed = materialize(_signatures(source, pivots), "signatures")
 
     listed = signed.where("bands is not null").select("text_id", F.posexplode("bands").alias("band", "h"))
     keyed = listed.select((F.shiftleft(F.col("band").cast("long"), 32) + F.col("h")).alias("bucket"), "text_id")
-    from pyspark.sql import Window
-
     first = F.min("text_id").over(Window.partitionBy("bucket"))
     last = F.max("text_id").over(Window.partitionBy("bucket"))
     buckets = keyed.withColumn("lead", first).withColumn("last", last).where("lead < last").select("bucket", "text_id", "lead").distinct()
