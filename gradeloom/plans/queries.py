@@ -1,16 +1,445 @@
-"""Registered queries of the core operators."""
+"""Registered queries of the core operators, each over its whole tables, with DuckDB SQL where SQL can say it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gradeloom.functions import boxes, canonical, ruler, text
+from gradeloom.operators import audit, ordering, sampling, similarity, stats
+from gradeloom.operators import schedule as S
+from gradeloom.plans import schedule as plan
+from gradeloom.plans import sql
 from gradeloom.session import table
+from gradeloom.sources import io
+from gradeloom.streaming import running
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "prepared_corpus")
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    if f.__name__ in sql.SQL:
+        SQL[f.__name__] = sql.SQL[f.__name__]
+    return f
+
+
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "dm_large_train").select("train_idx", "question").distinct()
+
+
+def _manifest(spark: SparkSession, d: str, arm: str | None = None) -> DataFrame:
+    """Schedule rows, those delivered again once."""
+    rows = table(spark, d, "schedule_manifest")
+    rows = rows.where(F.col("arm") == arm) if arm else rows
+    return rows.drop("arrived_at").distinct()
+
+
+def _tenth(rows: DataFrame) -> int:
+    return rows.count() // 10
+
+
+@query
+def proportional_take(spark: SparkSession, d: str) -> DataFrame:
+    """A tenth of the corpus, proportional over topic and difficulty bucket, in its salted order."""
+    rows = table(spark, d, "prepared_corpus").withColumn("difficulty_bucket", text.difficulty_bucket(F.col("difficulty")))
+    return sampling.proportional_take(rows, _tenth(rows), ["topic", "difficulty_bucket"], "metadata-master-v1").select("position", "row_hash", "topic", "difficulty_bucket")
+
+
+flagship = proportional_take
+
+
+@query
+def hamilton_quota(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "prepared_corpus").withColumn("difficulty_bucket", text.difficulty_bucket(F.col("difficulty")))
+    return sampling.hamilton_quota(rows, _tenth(rows), ["topic", "difficulty_bucket"]).select("stratum", "size", "quota")
+
+
+@query
+def stratified_round_robin(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "prepared_corpus")
+    return sampling.stratified_take(rows, _tenth(rows), ["topic"], "round-v1").select("position", "row_hash", "topic")
+
+
+@query
+def bin_selection(spark: SparkSession, d: str) -> DataFrame:
+    """A quarter of the corpus by bin quotas; the bin stands for the graded outcome and is made from the difficulty."""
+    b = F.when(F.col("difficulty") < 5, "anchor").when(F.col("difficulty") < 6.5, "frontier").otherwise("hard")
+    rows = table(spark, d, "prepared_corpus").withColumn("difficulty_bin", b)
+    return sampling.select_by_bins(rows, rows.count() // 4, ["topic"]).select("position", "row_hash", "difficulty_bin")
+
+
+@query
+def nested_subset(spark: SparkSession, d: str) -> DataFrame:
+    """A subset nested in a master selection, its difficulty quotas repaired by swaps."""
+    rows = plan.with_strata(table(spark, d, "prepared_corpus"))
+    master = sampling.proportional_take(rows, rows.count() // 2, plan.STRATA, "metadata-master-v1").drop("position")
+    return sampling.nested_take(master, rows.count() // 10, plan.STRATA).select("position", "row_hash", "difficulty_bucket", "topic")
+
+
+@query
+def token_deciles(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "prepared_corpus")
+    rows = ordering.token_deciles(rows, "assistant_tokens", "row_hash", "solution_token_decile")
+    return ordering.token_deciles(rows, "prompt_tokens", "row_hash", "prompt_token_decile").select("row_hash", "solution_token_decile", "prompt_token_decile")
+
+
+@query
+def stable_positions(spark: SparkSession, d: str) -> DataFrame:
+    return ordering.stable_order(table(spark, d, "replay_pool"), "replay-v1", ["row_hash"]).select("position", "row_hash")
+
+
+@query
+def seeded_shuffle(spark: SparkSession, d: str) -> DataFrame:
+    return ordering.seeded_shuffle(table(spark, d, "replay_pool").select("row_hash", "input_pos"), "input_pos", 42)
+
+
+@query
+def question_hashes(spark: SparkSession, d: str) -> DataFrame:
+    return _questions(spark, d).select("train_idx", text.question_hash("question").alias("question_hash"))
+
+
+@query
+def template_families(spark: SparkSession, d: str) -> DataFrame:
+    """The first record of each template family, and how many the family has."""
+    families = _questions(spark, d).select("train_idx", text.template_hash("question").alias("family_hash"))
+    return families.groupBy("family_hash").agg(F.min("train_idx").alias("first_idx"), F.count("*").alias("members"))
+
+
+@query
+def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    hashes = question_hashes(spark, d)
+    return hashes.groupBy("question_hash").agg(F.count("*").alias("copies"), F.min("train_idx").alias("first_idx")).where("copies > 1")
+
+
+@query
+def ngram_counts(spark: SparkSession, d: str) -> DataFrame:
+    grams = text.char_ngrams(text.normalize_question("question"))
+    return _questions(spark, d).select("train_idx", F.size(grams).alias("n_grams"))
+
+
+@query
+def nearest_dev_problem(spark: SparkSession, d: str) -> DataFrame:
+    dev = table(spark, d, "internal_dev")
+    out = similarity.nearest_match(dev, dev, "idx", "idx", "problem", "problem", other=True)
+    return out.select(F.col("probe").alias("idx"), F.round("score", 9).alias("score"), F.col("ref").alias("nearest_idx"))
+
+
+@query
+def similar_questions(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of distinct normalised questions with a Jaccard score of 0.75 or more, each by its first record."""
+    firsts = _questions(spark, d).groupBy(text.question_hash("question").alias("h")).agg(F.min(F.struct("train_idx", "question")).alias("s")).select("s.*")
+    pairs = similarity.similar_pairs(firsts, firsts, "train_idx", "train_idx", "question", "question", 0.75)
+    return pairs.where("probe < ref").select(F.col("probe").alias("train_idx_a"), F.col("ref").alias("train_idx_b"), F.round("score", 9).alias("score"))
+
+
+@query
+def dev_containment(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold 90 % of the character pieces of a held-out problem."""
+    pairs = similarity.similar_pairs(table(spark, d, "documents"), table(spark, d, "internal_dev"), "doc_id", "idx", "text", "problem", 0.9, "containment")
+    return pairs.select(F.col("probe").alias("doc_id"), F.col("ref").alias("idx"), F.round("score", 9).alias("score"))
+
+
+@query
+def embedding_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five vectors nearest to each vector whose id is divisible by 100, against all vectors."""
+    vectors = table(spark, d, "embeddings")
+    out = similarity.nearest_vectors(vectors.where("vec_id % 100 = 0"), vectors, 5)
+    return out.select("query", "rank", "neighbour", F.round("cosine", 6).alias("cosine"))
+
+
+@query
+def repetition_loops(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where(text.has_repetition_loop(F.col("text"))).select("doc_id")
+
+
+@query
+def tool_residue(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where(text.has_tool_residue(F.col("text"))).select("doc_id")
+
+
+@query
+def question_rejects(spark: SparkSession, d: str) -> DataFrame:
+    asked = _questions(spark, d).select("question").unionByName(table(spark, d, "internal_dev").select(F.col("problem").alias("question")))
+    return asked.groupBy(F.coalesce(text.question_reject_reason(F.col("question")), F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query
+def solution_rejects(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "dm_large_train").select("train_idx", "answer").distinct()
+    return rows.groupBy(F.coalesce(boxes.solution_reject_reason(F.col("answer")), F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query
+def boxed_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes, the last one's content, the terminal answer and its source of every answer."""
+    rows = table(spark, d, "dm_large_train").select("train_idx", "answer").distinct()
+    region = boxes.terminal_region(F.col("answer"))
+    return rows.select("train_idx", F.size(boxes.boxed_spans(F.col("answer"))).alias("n_boxes"), boxes.boxed_inner(F.col("answer")).alias("inner"), region["answer"].alias("terminal"), region["source"].alias("source"))
+
+
+@query
+def graded_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Every answer against the corpus' final answer of its source row; joined 1:1 on the row's digest."""
+    answers = table(spark, d, "dm_large_train").select("train_idx", "answer").distinct()
+    source = _manifest(spark, d, "dm_large").select(F.col("schedule_idx").alias("train_idx"), F.col("source_row_hash").alias("row_hash"), "repeat_id")
+    gold = table(spark, d, "prepared_corpus").where("final_answer is not null").select("row_hash", "final_answer")
+    joined = answers.join(source, "train_idx").join(gold, "row_hash")
+    g = ruler.grade(text.gold_boxed(F.regexp_replace("final_answer", r"^\$|\$$", "")), F.col("answer"))
+    return joined.select("train_idx", "row_hash", "repeat_id", g.alias("g")).select("train_idx", "row_hash", "repeat_id", "g.*")
+
+
+@query
+def profile_bins(spark: SparkSession, d: str) -> DataFrame:
+    """Per source row: graded repeats in order, and the bin: first repeat right, any right, none right."""
+    k = stats.correct_of_k(graded_answers(spark, d), "row_hash", "repeat_id")
+    b = F.when(F.get("outcomes", F.lit(0)) == 1, "anchor").when(F.col("correct") > 0, "frontier").otherwise("hard")
+    return k.withColumn("difficulty_bin", b)
+
+
+@query
+def row_digests(spark: SparkSession, d: str) -> DataFrame:
+    columns = ["row_hash", "topic", "difficulty", "final_answer", "prompt_tokens"]
+    return table(spark, d, "prepared_corpus").select("row_hash", canonical.row_digest(columns).alias("digest"))
+
+
+@query
+def prompts(spark: SparkSession, d: str) -> DataFrame:
+    p = text.prompt(F.col("question"))
+    return _questions(spark, d).select("train_idx", F.sha2(p, 256).alias("prompt_sha256"), text.prompt_version().alias("version"), text.slug(F.substring("question", 1, 40)).alias("slug"))
+
+
+@query
+def token_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Truncation and label masks over word lengths that stand for token ids."""
+    ids = lambda c: F.transform(F.split(F.coalesce(c, F.lit("")), " "), lambda w: F.length(w).cast("long"))
+    rows = table(spark, d, "dm_large_train").distinct().select("train_idx", ids(F.col("question")).alias("p"), ids(F.col("answer")).alias("c"))
+    return rows.select(
+        "train_idx", text.ids_digest(text.keep_last(F.col("p"), 32)).alias("prompt_digest"), text.expected_bos(F.col("p"), 32).alias("expected_bos"),
+        text.ids_digest(text.train_ids(F.col("p"), F.col("c"), 96)).alias("ids_digest"), text.ids_digest(text.train_labels(F.col("p"), F.col("c"), 96)).alias("labels_digest"),
+        text.stop_position(F.col("c"), [9, 10]).alias("generated"), (F.size("p") + F.size("c") > 96).alias("too_long"),
+    )
+
+
+@query
+def truncation_audit(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows of each arm exceed 256 train tokens, and the first 20 of them (a report of that size)."""
+    rows = _manifest(spark, d).where("train_tokens > 256")
+    counts = rows.groupBy("arm").agg(F.count("*").alias("affected"))
+    first = rows.withColumn("r", F.row_number().over(_by("arm", "schedule_idx"))).where("r <= 20").groupBy("arm").agg(F.array_join(F.array_sort(F.collect_list("schedule_idx")), ",").alias("first_ids"))
+    return counts.join(first, "arm")
+
+
+def _by(part: str, order: str):
+    from pyspark.sql import Window
+
+    return Window.partitionBy(part).orderBy(order)
+
+
+@query
+def difficulty_buckets(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "prepared_corpus").groupBy(text.difficulty_bucket(F.col("difficulty")).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query
+def topic_distribution(spark: SparkSession, d: str) -> DataFrame:
+    out = stats.distribution(_manifest(spark, d), ["topic", "difficulty_bucket"], ["arm"])
+    return out.withColumn("fraction", F.round("fraction", 12))
+
+
+@query
+def distribution_gaps(spark: SparkSession, d: str) -> DataFrame:
+    fields = ["topic", "difficulty_bucket", "solution_token_decile", "prompt_token_decile"]
+    return stats.distribution_gap(_manifest(spark, d, "dm_small"), _manifest(spark, d, "dm_large"), fields).withColumn("gap", F.round("gap", 12))
+
+
+@query
+def token_budget(spark: SparkSession, d: str) -> DataFrame:
+    return S.token_budget(_manifest(spark, d)).withColumn("gap", F.round("gap", 12))
+
+
+@query
+def schedule_composition(spark: SparkSession, d: str) -> DataFrame:
+    return _manifest(spark, d).groupBy("arm", "source").agg(F.count("*").alias("n"), F.sum("train_tokens").alias("train_tokens"))
+
+
+@query
+def replay_deduplicated(spark: SparkSession, d: str) -> DataFrame:
+    pool = plan.replay_families(table(spark, d, "replay_pool"), table(spark, d, "schedule_manifest"))
+    return S.deduplicate_replay(pool).select("row_hash", "input_pos", "outcome")
+
+
+@query
+def replay_audit(spark: SparkSession, d: str) -> DataFrame:
+    pool = plan.replay_families(table(spark, d, "replay_pool"), table(spark, d, "schedule_manifest"))
+    return S.replay_audit(S.deduplicate_replay(pool))
+
+
+@query
+def replay_cycle(spark: SparkSession, d: str) -> DataFrame:
+    """Two and a half runs through the replay pool."""
+    pool = table(spark, d, "replay_pool")
+    return S.replay_exposures(pool, pool.count() * 5 // 2).select("exposure", "repeat_id", "row_hash")
+
+
+@query
+def exposures(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "prepared_corpus").select("row_hash", "train_tokens")
+    return S.expand_exposures(rows, rows.count() * 3, "deepmath_large")
+
+
+@query
+def schedule_union(spark: SparkSession, d: str) -> DataFrame:
+    """Source composition of expanded and replayed rows whose columns differ."""
+    both = S.union_sources(exposures(spark, d), replay_cycle(spark, d).withColumn("source", F.lit("math_replay")))
+    return both.groupBy("source").agg(F.count("*").alias("n"), F.count("train_tokens").alias("with_tokens"), F.count("exposure").alias("with_exposure"))
+
+
+@query
+def built_schedules(spark: SparkSession, d: str) -> DataFrame:
+    """Both arms of a schedule built from the whole corpus and the replay pool."""
+    prepared = table(spark, d, "prepared_corpus")
+    n = prepared.count()
+    small, large = n // 10, n // 10 * 5
+    pool = plan.replay_families(table(spark, d, "replay_pool"), table(spark, d, "schedule_manifest"))
+    return plan.build_schedules(prepared, pool, large, small, large * 2, large // 2).both()
+
+
+@query
+def corpus_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Question digests that two of the corpus, the replay pool and the held-out items share."""
+    p, r, v = (table(spark, d, t) for t in ("prepared_corpus", "replay_pool", "internal_dev"))
+    part = lambda a, b, name: audit.shared_keys(a, b, "question_hash", "question_hash").withColumn("between", F.lit(name))
+    return part(p, r, "prepared-replay").unionByName(part(p, v, "prepared-dev")).unionByName(part(r, v, "replay-dev"))
+
+
+@query
+def key_differences(spark: SparkSession, d: str) -> DataFrame:
+    """Training rows without schedule row and the other way round, and source rows that no schedule uses."""
+    train = table(spark, d, "dm_large_train").select(F.col("train_idx").cast("string").alias("k"))
+    rows = _manifest(spark, d, "dm_large").select(F.col("schedule_idx").cast("string").alias("k"))
+    used = _manifest(spark, d).select(F.col("source_row_hash").alias("k"))
+    known = table(spark, d, "prepared_corpus").select(F.col("row_hash").alias("k")).unionByName(table(spark, d, "replay_pool").select(F.col("row_hash").alias("k")))
+    one = audit.key_difference(train, rows, "k").withColumn("what", F.lit("train-schedule"))
+    return one.unionByName(audit.key_difference(used, known, "k").withColumn("what", F.lit("schedule-corpus")))
+
+
+@query
+def question_drift(spark: SparkSession, d: str) -> DataFrame:
+    """Records whose normalised question hash isn't the one recorded in the schedule."""
+    now = question_hashes(spark, d)
+    recorded = _manifest(spark, d, "dm_large").where("source_question_hash is not null").select(F.col("schedule_idx").alias("train_idx"), F.col("source_question_hash").alias("question_hash"))
+    return audit.mismatches(now, recorded, "train_idx", "question_hash")
+
+
+@query
+def repeat_completeness(spark: SparkSession, d: str) -> DataFrame:
+    rows = _manifest(spark, d)
+    return audit.group_completeness(rows, ["arm", "source_row_hash"], "repeat_id").groupBy("arm", "complete").agg(F.count("*").alias("n"), F.sum("rows").alias("rows"))
+
+
+@query
+def source_dependencies(spark: SparkSession, d: str) -> DataFrame:
+    return audit.not_determined(_manifest(spark, d), "source_row_hash", ["source_question_hash", "source_family_hash"])
+
+
+@query
+def arm_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Positions at which the arms differ in source row or size."""
+    slim = lambda arm: _manifest(spark, d, arm).groupBy("schedule_idx").agg(F.min("source_row_hash").alias("h"), F.min("train_tokens").alias("t"))
+    return audit.positional_difference(slim("dm_small"), slim("dm_large"), "schedule_idx", ["h", "t"])
+
+
+@query
+def constant_drift(spark: SparkSession, d: str) -> DataFrame:
+    out = audit.constant_drift(_manifest(spark, d), {"split": "train", "arm": "dm_large", "repeat_id": 0})
+    return out.select("column", "expected", "wrong_rows", F.array_join("wrong_values", ",").alias("wrong_values"))
+
+
+@query
+def null_counts(spark: SparkSession, d: str) -> DataFrame:
+    return audit.null_counts(table(spark, d, "schedule_manifest"), ["arm", "source", "topic", "difficulty", "source_question_hash", "split"])
+
+
+@query
+def uniqueness(spark: SparkSession, d: str) -> DataFrame:
+    return audit.uniqueness(table(spark, d, "prepared_corpus"), ["row_hash", "question_hash", "family_hash"])
+
+
+@query
+def duplicate_deliveries(spark: SparkSession, d: str) -> DataFrame:
+    return audit.duplicate_keys(table(spark, d, "schedule_manifest"), ["arm", "schedule_idx"])
+
+
+@query
+def token_limits(spark: SparkSession, d: str) -> DataFrame:
+    tokens = ["prompt_tokens", "assistant_tokens", "train_tokens"]
+    return audit.out_of_range(table(spark, d, "prepared_corpus"), tokens, 1, 300).select("row_hash", "train_tokens")
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluation records: a user's last event of a type stands for an item's result in an arm."""
+    last = table(spark, d, "events").groupBy(F.col("user_id").alias("idx"), F.col("event_type").alias("arm")).agg(F.max_by("value", F.struct("ts", "event_id")).alias("v"))
+    return last.select(
+        "idx", "arm", (F.col("v") > 10).cast("int").alias("fallback_correct"), (F.col("v") > 20).cast("int").alias("strict_correct"),
+        F.floor(F.col("v") * 10).alias("generated_tokens"), (F.col("v") > 60).cast("int").alias("hit_max"),
+    )
+
+
+@query
+def record_metrics(spark: SparkSession, d: str) -> DataFrame:
+    out = stats.record_metrics(_records(spark, d), ["arm"])
+    return out.select("arm", "n", "median_tokens", "contract_violations", *[F.round(c, 9).alias(c) for c in ("strict_acc", "fallback_acc", "format_gap", "mean_tokens", "hit_max_rate")])
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    """(idx, seed, base, treat): every arm but the base stands for a seed."""
+    r = _records(spark, d).select("idx", "arm", "fallback_correct")
+    base = r.where("arm = 'view'").select("idx", F.col("fallback_correct").alias("base"))
+    return r.where("arm <> 'view'").select("idx", F.col("arm").alias("seed"), F.col("fallback_correct").alias("treat")).join(base, "idx")
+
+
+@query
+def arm_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """Accuracies, exact McNemar test and gate of each arm against the base."""
+    out = stats.gate(stats.paired_outcomes(_pairs(spark, d), "base", "treat", ["seed"]))
+    return out.select("seed", "n", "improved", "regressed", "discordant", "passed", "passed_exactly", *[F.round(c, 9).alias(c) for c in ("base_acc", "treat_acc", "delta", "p")])
+
+
+def _interval(spark: SparkSession, d: str) -> DataFrame:
+    deltas = _pairs(spark, d).select("idx", (F.col("treat") - F.col("base")).alias("delta"))
+    return stats.hash_bootstrap(stats.clusters(deltas, "idx"), 200, 20260714)
+
+
+@query
+def bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
+    return _interval(spark, d).select("n", "reps", *[F.round(c, 9).alias(c) for c in ("estimate", "ci95_low", "ci95_high")])
+
+
+@query
+def decision(spark: SparkSession, d: str) -> DataFrame:
+    per_seed = stats.paired_outcomes(_pairs(spark, d), "base", "treat", ["seed"])
+    return stats.decision(per_seed, _interval(spark, d)).select("success", *[F.round(c, 9).alias(c) for c in ("worst_delta", "mean_delta", "ci95_low", "ci95_high")])
+
+
+@query
+def level_selection(spark: SparkSession, d: str) -> DataFrame:
+    return io.load_levels(table(spark, d, "internal_dev"), "4", 42).select("position", "idx", "type")
+
+
+@query
+def event_windows(spark: SparkSession, d: str) -> DataFrame:
+    out = running.tumbling(table(spark, d, "events"))
+    return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query
+def streamed_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Running totals by source after streaming all schedule rows."""
+    import uuid
+
+    name = "totals_" + uuid.uuid4().hex
+    return running.run_available(spark, f"{d}/schedule_manifest.parquet", running.running_totals, name)
