@@ -60,9 +60,10 @@ def template_hash(text: Column | str) -> Column:
 
 def char_ngrams(text: Column, n: int = 5) -> Column:
     """The distinct n-character pieces; none for an empty text, the text itself if it is shorter. Null stays null."""
-    c = F.split(text, "")
-    grams = F.transform(F.sequence(F.lit(1), F.size(c) - (n - 1)), lambda i: F.concat(*[F.element_at(c, i + k) for k in range(n)]))
-    return F.when(text == "", F.array().cast("array<string>")).when(F.length(text) < n, F.array(text)).when(text.isNotNull(), F.array_distinct(grams))
+    # the characters are bound to a variable, else each piece would split the text again
+    of = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(c) - (n - 1)), lambda i: F.concat(*[F.element_at(c, i + k) for k in range(n)])))
+    grams = F.get(F.transform(F.array(F.split(text, "")), of), F.lit(0))
+    return F.when(text == "", F.array().cast("array<string>")).when(F.length(text) < n, F.array(text)).when(text.isNotNull(), grams)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -117,8 +117,8 @@ def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def ngram_counts(spark: SparkSession, d: str) -> DataFrame:
-    grams = text.char_ngrams(text.normalize_question("question"))
-    return _questions(spark, d).select("train_idx", F.size(grams).alias("n_grams"))
+    normal = _questions(spark, d).select("train_idx", text.normalize_question("question").alias("t"))
+    return normal.select("train_idx", F.size(text.char_ngrams(F.col("t"))).alias("n_grams"))
 
 
 @query

@@ -20,7 +20,7 @@ def _json(c: str) -> str:
 _BUCKET = "printf('%.1f', floor(difficulty * 2) / 2)"
 _M = "(SELECT DISTINCT * EXCLUDE (arrived_at) FROM schedule_manifest)"
 _Q = f"(SELECT DISTINCT train_idx, question, {_normal('question')} AS t FROM dm_large_train)"
-_GRAMS = "CASE WHEN t = '' THEN [] WHEN length(t) < 5 THEN [t] ELSE list_distinct(list_transform(range(1, length(t) - 3), i -> substr(t, i, 5))) END"
+_GRAMS = "CASE WHEN t = '' THEN [] WHEN length(t) < 5 THEN [t] ELSE list_distinct(list_transform(range(1, length(t) - 3), lambda i: substr(t, i, 5))) END"
 _FAMILIES = """(SELECT r.*, f.family_hash FROM replay_pool r LEFT JOIN (SELECT source_row_hash, min(source_family_hash) AS family_hash
     FROM schedule_manifest WHERE source_family_hash IS NOT NULL GROUP BY 1) f ON f.source_row_hash = r.row_hash)"""
 _OUTCOMES = f"""(SELECT row_hash, input_pos, question_hash, CASE WHEN row_number() OVER w = 1 THEN 'kept'
@@ -49,7 +49,7 @@ _INTERVAL = f"""
     ends AS (SELECT quantile_cont(mean, 0.025) AS ci95_low, quantile_cont(mean, 0.975) AS ci95_high FROM means)"""
 _SEEDS = f"""(SELECT seed, count(*) AS n, sum(base) / count(*) AS base_acc, sum(treat) / count(*) AS treat_acc, sum(treat - base) / count(*) AS delta,
     count(*) FILTER (base = 0 AND treat = 1) AS improved, count(*) FILTER (base = 1 AND treat = 0) AS regressed FROM {_PAIRS} GROUP BY seed)"""
-_WORDS = "list_transform(string_split(coalesce({c}, ''), ' '), w -> CAST(length(w) AS BIGINT))"
+_WORDS = "list_transform(string_split(coalesce({c}, ''), ' '), lambda w: CAST(length(w) AS BIGINT))"
 
 _PROOF = r"\b(?:prove|show|demonstrate|establish)\s+(?:that|why)\b"
 _CHOICE = r"(?:\\text\s*\{?\s*\(?[A-E]\)?\s*\}?\s*[,;]|(?:^|\n)\s*\(?[A-E]\)\s+.*(?:\n\s*\(?[B-E]\)\s+)|\b(?:multiple choice|choose (?:the|an) (?:correct|best)|answer choices?)\b)"
@@ -97,8 +97,8 @@ SQL: dict[str, str] = {
     "repetition_loops": rf"""WITH d AS (SELECT doc_id, replace(lower(text), 'ß', 'ss') AS t FROM documents WHERE text IS NOT NULL),
       l AS (SELECT doc_id, trim(regexp_replace(unnest(regexp_split_to_array(t, '\r\n|[\n\r\x{{0b}}\x{{0c}}\x{{1c}}-\x{{1e}}\x{{85}}\x{{2028}}\x{{2029}}]')), '{_BLANKS}+', ' ', 'g')) AS line FROM d),
       a AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, line FROM l WHERE length(line) >= 24 GROUP BY 1, 2 HAVING count(*) >= 3)),
-      w AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '{_BLANKS}+'), x -> x <> '') AS ws FROM d),
-      r AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 18), i -> array_to_string(ws[i:i + 19], ' '))) AS run FROM w WHERE len(ws) >= 60),
+      w AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '{_BLANKS}+'), lambda x: x <> '') AS ws FROM d),
+      r AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 18), lambda i: array_to_string(ws[i:i + 19], ' '))) AS run FROM w WHERE len(ws) >= 60),
       b AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, run FROM r GROUP BY 1, 2 HAVING count(*) >= 3))
       SELECT doc_id FROM a UNION SELECT doc_id FROM b""",
     "tool_residue": f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{_TOOL}', 'i')",
@@ -114,8 +114,8 @@ SQL: dict[str, str] = {
         regexp_replace(regexp_replace(lower(substr(question, 1, 40)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM {_Q}""",
     "token_windows": f"""WITH r AS (SELECT train_idx, {_WORDS.format(c='question')} AS p, {_WORDS.format(c='answer')} AS c FROM (SELECT DISTINCT * FROM dm_large_train))
       SELECT train_idx, sha256(CAST(to_json(CASE WHEN len(p) <= 32 THEN p ELSE p[-32:] END) AS VARCHAR)) AS prompt_digest, CAST(CASE WHEN len(p) > 32 THEN 0 ELSE 1 END AS INT) AS expected_bos,
-        sha256(CAST(to_json(list_concat(p, c)[1:96]) AS VARCHAR)) AS ids_digest, sha256(CAST(to_json(list_concat(list_transform(p, x -> CAST(-100 AS BIGINT)), c)[1:96]) AS VARCHAR)) AS labels_digest,
-        CAST(coalesce(list_filter(range(1, len(c) + 1), i -> c[i] IN (9, 10))[1], len(c)) AS INT) AS generated, len(p) + len(c) > 96 AS too_long FROM r""",
+        sha256(CAST(to_json(list_concat(p, c)[1:96]) AS VARCHAR)) AS ids_digest, sha256(CAST(to_json(list_concat(list_transform(p, lambda x: CAST(-100 AS BIGINT)), c)[1:96]) AS VARCHAR)) AS labels_digest,
+        CAST(coalesce(list_filter(range(1, len(c) + 1), lambda i: c[i] IN (9, 10))[1], len(c)) AS INT) AS generated, len(p) + len(c) > 96 AS too_long FROM r""",
     "truncation_audit": f"""WITH t AS (SELECT arm, schedule_idx, row_number() OVER (PARTITION BY arm ORDER BY schedule_idx) AS r FROM {_M} WHERE train_tokens > 256)
       SELECT arm, count(*) AS affected, array_to_string(list_sort(list(schedule_idx) FILTER (r <= 20)), ',') AS first_ids FROM t GROUP BY arm""",
     "difficulty_buckets": f"SELECT {_BUCKET} AS bucket, count(*) AS n FROM prepared_corpus GROUP BY 1",
@@ -124,7 +124,7 @@ SQL: dict[str, str] = {
       SELECT arm, field, value, count, round(count / sum(count) OVER (PARTITION BY arm, field), 12) AS fraction FROM c""",
     "distribution_gaps": f"""WITH v AS (SELECT arm, unnest(['topic', 'difficulty_bucket', 'solution_token_decile', 'prompt_token_decile']) AS field,
         unnest([coalesce(topic, 'None'), coalesce(difficulty_bucket, 'None'), coalesce(CAST(solution_token_decile AS VARCHAR), 'None'), coalesce(CAST(prompt_token_decile AS VARCHAR), 'None')]) AS value FROM {_M}),
-      f AS (SELECT arm, field, value, count(*) / sum(count(*)) OVER (PARTITION BY arm, field) AS x FROM v GROUP BY ALL),
+      n AS (SELECT arm, field, value, count(*) AS k FROM v GROUP BY ALL), f AS (SELECT arm, field, value, k / sum(k) OVER (PARTITION BY arm, field) AS x FROM n),
       g AS (SELECT coalesce(a.field, b.field) AS field, max(abs(coalesce(a.x, 0) - coalesce(b.x, 0))) AS gap FROM (SELECT * FROM f WHERE arm = 'dm_small') a
         FULL JOIN (SELECT * FROM f WHERE arm = 'dm_large') b ON a.field = b.field AND a.value = b.value GROUP BY 1)
       SELECT field, round(gap, 12) AS gap, gap <= 0.03 + 1e-12 AS within FROM g""",
@@ -174,7 +174,7 @@ SQL: dict[str, str] = {
     "arm_comparison": f"""SELECT seed, n, improved, regressed, improved + regressed AS discordant, treat_acc - base_acc >= 0.01 AS passed, improved - regressed >= ceil(0.01 * n - 1e-9) AS passed_exactly,
         round(base_acc, 9) AS base_acc, round(treat_acc, 9) AS treat_acc, round(delta, 9) AS delta,
         round(CASE WHEN improved + regressed = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(improved, regressed) + 1),
-          k -> exp(lgamma(improved + regressed + 1) - lgamma(k + 1) - lgamma(improved + regressed - k + 1) - (improved + regressed) * ln(2))))) END, 9) AS p FROM {_SEEDS}""",
+          lambda k: exp(lgamma(improved + regressed + 1) - lgamma(k + 1) - lgamma(improved + regressed - k + 1) - (improved + regressed) * ln(2))))) END, 9) AS p FROM {_SEEDS}""",
     "bootstrap_interval": f"""WITH {_INTERVAL} SELECT (SELECT n FROM size) AS n, CAST(200 AS INT) AS reps, round((SELECT sum(value) FROM clusters) / (SELECT n FROM size), 9) AS estimate,
         round(ci95_low, 9) AS ci95_low, round(ci95_high, 9) AS ci95_high FROM ends""",
     "decision": f"""WITH {_INTERVAL}, seeds AS (SELECT min(delta) AS w, avg(delta) AS m FROM {_SEEDS})

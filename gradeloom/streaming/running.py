@@ -38,9 +38,13 @@ def tumbling(events: DataFrame, event_time: str = "ts", width: str = "1 hour", l
 
 
 def run_available(spark: SparkSession, path: str, build: Callable[[DataFrame], DataFrame], name: str, mode: str = "complete") -> DataFrame:
-    """Run a query over the files of a folder that are there now and return what it has put out."""
+    """Run a query over the files of a table that are there now and return what it has put out."""
     schema = spark.read.parquet(path).schema
-    query = build(spark.readStream.schema(schema).parquet(path)).writeStream.outputMode(mode).format("memory").queryName(name)
+    reader = spark.readStream.schema(schema)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        reader, path = reader.option("pathGlobFilter", at.getName()), at.getParent().toString()  # a stream reads folders
+    query = build(reader.parquet(path)).writeStream.outputMode(mode).format("memory").queryName(name)
     query = query.option("checkpointLocation", f"{shared_folder(spark)}/stream-{name}").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name)
