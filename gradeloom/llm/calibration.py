@@ -119,7 +119,7 @@ def calibrate(rows: DataFrame, targets: DataFrame, key: str, dimensions: list[st
         n = int(rate * eligible[t.dimension])
         t.rows = float(min(t.eligible, max(t.share * n, t.floor)))
         t.whole = t.rows >= t.eligible
-    multipliers = _solve(cells, order, used, rate)
+    multipliers = _solve(cells, order, used, rate) if used else np.zeros(0)
 
     index = {(t.dimension, t.category): i for i, t in enumerate(order)}
 

@@ -27,7 +27,7 @@ from gradeloom.llm.language import language
 
 #: Most rows the model of terminal contexts is fitted on (those with the smallest hashes of the key).
 SAMPLE_ROWS = 4000
-#: A copy adds at most so many compressed bytes, and so many for each byte of the answer.
+#: A copy adds at most so many compressed bytes, and so many for each byte of the shorter of answer and question.
 COPY_BYTES, COPY_SHARE = 34, 0.02
 
 # What is written where an answer was not given, without blanks and marks.
@@ -100,7 +100,7 @@ def copies_question(question: str, answer: str) -> bool:
     size = len(answer.encode("utf-8", "surrogatepass"))
     if size < 30 or 2 * len(answer) < len(question):
         return False
-    return own_bytes(question, answer) <= COPY_BYTES + COPY_SHARE * size
+    return own_bytes(question, answer) <= COPY_BYTES + COPY_SHARE * min(size, len(question.encode("utf-8", "surrogatepass")))
 
 
 _CLASSES = 12

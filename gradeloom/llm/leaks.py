@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from gradeloom.llm.textform import common_forms
 
@@ -182,13 +183,13 @@ def leaks(
     for b in range(blocks):
         rows = chosen.where(F.pmod(F.xxhash64(item_key), F.lit(blocks)) == b).collect()
         block = spark.sparkContext.broadcast(_block(sorted(tuple(r) for r in rows) if rows else [], tile_words))
-        found = docs.select(doc_key, text).where(F.col(doc_key).isNotNull() & (F.length(text) > 0)).mapInArrow(_tiler(block, tile_words), T.StructType(fields))
+        found = docs.select(doc_key, text).where(F.col(doc_key).isNotNull() & (F.length(text) > 0)).mapInArrow(_tiler(block, tile_words, to_arrow_type(fields[1].dataType)), T.StructType(fields))
         out = found if out is None else out.unionByName(found)
     share = F.col("covered_words") / F.col("item_words")
     return out.withColumn("coverage", share).withColumn("whole", share >= WHOLE)
 
 
-def _tiler(block, k: int):
+def _tiler(block, k: int, item_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = block.value
         seeds, maybe, keys, home = b["seeds"], b["maybe"], b["keys"], b["home"]
@@ -212,7 +213,7 @@ def _tiler(block, k: int):
                         result.append((doc, n, len(tiles), max(lengths), sum(lengths), int(b["words"][n])))
             which = pa.array([r[0] for r in result], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(which), pa.array([keys[r[1]] for r in result]).cast(pa.int64()) if keys and isinstance(keys[0], int) else pa.array([keys[r[1]] for r in result], pa.string())]
+                [batch.column(0).take(which), pa.array([keys[r[1]] for r in result], item_type)]
                 + [pa.array([r[c] for r in result], pa.int32()) for c in range(2, 6)],
                 names=[names[0], "item", "tiles", "longest", "covered_words", "item_words"],
             )

@@ -85,7 +85,9 @@ def local_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list
         if len(open_bins) < 2 or not givers:
             break
         e = min(givers, key=lambda k: (fill[k], k))
-        if not _improve(e, open_bins, bins, fill, sizes, capacity):
+        if _improve(e, open_bins, bins, fill, sizes, capacity):
+            stuck.clear()
+        else:
             stuck.add(e)
     return [b for b in bins if b]
 
