@@ -12,7 +12,7 @@ from gradeloom.operators import audit, ordering, sampling, similarity, stats
 from gradeloom.operators import schedule as S
 from gradeloom.plans import schedule as plan
 from gradeloom.plans import sql
-from gradeloom.session import table
+from gradeloom.session import spread, table
 from gradeloom.sources import io
 from gradeloom.streaming import running
 
@@ -28,7 +28,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "dm_large_train").select("train_idx", "question").distinct()
+    return spread(table(spark, d, "dm_large_train").select("train_idx", "question")).distinct()
 
 
 def _manifest(spark: SparkSession, d: str, arm: str | None = None) -> DataFrame:
@@ -123,7 +123,7 @@ def ngram_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def nearest_dev_problem(spark: SparkSession, d: str) -> DataFrame:
-    dev = table(spark, d, "internal_dev")
+    dev = spread(table(spark, d, "internal_dev").select("idx", "problem"))
     out = similarity.nearest_match(dev, dev, "idx", "idx", "problem", "problem", other=True)
     return out.select(F.col("probe").alias("idx"), F.round("score", 9).alias("score"), F.col("ref").alias("nearest_idx"))
 
@@ -139,7 +139,7 @@ def similar_questions(spark: SparkSession, d: str) -> DataFrame:
 @query
 def dev_containment(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold 90 % of the character pieces of a held-out problem."""
-    pairs = similarity.similar_pairs(table(spark, d, "documents"), table(spark, d, "internal_dev"), "doc_id", "idx", "text", "problem", 0.9, "containment")
+    pairs = similarity.similar_pairs(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "internal_dev"), "doc_id", "idx", "text", "problem", 0.9, "containment")
     return pairs.select(F.col("probe").alias("doc_id"), F.col("ref").alias("idx"), F.round("score", 9).alias("score"))
 
 
