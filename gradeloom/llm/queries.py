@@ -9,7 +9,15 @@ from pyspark.sql import functions as F
 
 from gradeloom.llm import calibration, defects, leaks, mixing, neardup, packing, textform
 from gradeloom.llm.language import language
-from gradeloom.session import table
+from gradeloom.session import spread, table
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "dm_large_train").select("train_idx", "question", "answer"))
 
 
 def _capacity(spark: SparkSession, d: str) -> int:
@@ -63,7 +71,7 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_sequences(spark: SparkSession, d: str) -> DataFrame:
     """Every document piece with its training sequence and its place in it."""
-    return packing.pack_texts(table(spark, d, "documents"), _capacity(spark, d))
+    return packing.pack_texts(_docs(spark, d), _capacity(spark, d))
 
 
 def p5_fill(spark: SparkSession, d: str) -> DataFrame:
@@ -72,23 +80,23 @@ def p5_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return defects.defects(table(spark, d, "dm_large_train"))
+    return defects.defects(_pairs(spark, d))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.near_duplicate_pairs(table(spark, d, "dm_large_train"))
+    return neardup.near_duplicate_pairs(_pairs(spark, d).drop("answer"))
 
 
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     """Every record with its group, and the recorded question hash that its group's other records don't share."""
-    groups = neardup.near_duplicates(table(spark, d, "dm_large_train"))
+    groups = neardup.near_duplicates(_pairs(spark, d).drop("answer"))
     recorded = table(spark, d, "schedule_manifest").where("arm = 'dm_large'").groupBy(F.col("schedule_idx").alias("train_idx")).agg(F.min("source_question_hash").alias("source_question_hash"))
     return groups.join(recorded, "train_idx", "left")
 
 
 def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
     """Every document and test item it leaks, with the tiles and the coverage of the item."""
-    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "internal_dev"))
+    return leaks.leaks(_docs(spark, d), table(spark, d, "internal_dev"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -97,12 +105,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_normalized(spark: SparkSession, d: str) -> DataFrame:
     """Every document with its text in the common form."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = _docs(spark, d)
     return textform.normalize_texts(docs).select("doc_id", "text_form", (~F.col("text").eqNullSafe(F.col("text_form"))).alias("changed"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return textform.look_alike_pairs(table(spark, d, "documents"))
+    return textform.look_alike_pairs(_docs(spark, d))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
