@@ -87,7 +87,7 @@ def _same(a: str, b: str) -> bool:
     x, y = value(a), value(b)
     if x is not None and y is not None:
         return x == y if isinstance(x, Fraction) and isinstance(y, Fraction) else math.isclose(float(x), float(y), rel_tol=1e-9)
-    m, n = (re.fullmatch(r"(\\?[(\[{])(.*,.*)(\\?[)\]}])", t, re.S) for t in (a, b))
+    m, n = (re.fullmatch(r"(\\?[(\[{])(.*?,.*?)(\\?[)\]}])", t, re.S) for t in (a, b))
     if m and n and m.group(1) == n.group(1) and m.group(3) == n.group(3):
         p, q = m.group(2).split(","), n.group(2).split(",")
         if m.group(1).endswith("{"):
