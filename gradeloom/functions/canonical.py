@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -46,6 +46,11 @@ def canonical_object(columns: Sequence[str]) -> Column:
     return encode(*[F.col(n) for n in names])
 
 
+def payload(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns that identify a source row, in order; one the table lacks is null."""
+    return rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns])
+
+
 def row_digest(columns: Sequence[str]) -> Column:
     """sha256 of ``canonical_object``: the identity of a source row."""
     return F.sha2(canonical_object(columns), 256)

@@ -123,3 +123,16 @@ def decision(per_seed: DataFrame, interval: DataFrame, least: float = 0.02) -> D
     low, high = interval.select("ci95_low", "ci95_high").first()
     both = seeds.withColumn("ci95_low", F.lit(low)).withColumn("ci95_high", F.lit(high))
     return both.withColumn("success", (F.col("worst_delta") > 0) & (F.col("mean_delta") >= least) & (F.col("ci95_low") > 0))
+
+
+def three_way(base: DataFrame, large: DataFrame, small: DataFrame, key: str, outcome: str) -> DataFrame:
+    """(key, seed, base, large, small): outcomes of the base and of two arms with a ``seed``, joined on item and seed."""
+    b = base.select(key, F.col(outcome).alias("base"))
+    x, y = large.select(key, "seed", F.col(outcome).alias("large")), small.select(key, "seed", F.col(outcome).alias("small"))
+    return x.join(y, [key, "seed"]).join(b, key)
+
+
+def diversity_decision(prior_success: bool, interval: DataFrame, least: float = 0.02) -> DataFrame:
+    """One row: the earlier success holds, the estimate is at least ``least`` and the interval above 0."""
+    ok = F.lit(prior_success) & (F.col("estimate") >= least) & (F.col("ci95_low") > 0)
+    return interval.withColumn("success", ok)

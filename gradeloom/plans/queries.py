@@ -425,6 +425,17 @@ def decision(spark: SparkSession, d: str) -> DataFrame:
     return stats.decision(per_seed, _interval(spark, d)).select("success", *[F.round(c, 9).alias(c) for c in ("worst_delta", "mean_delta", "ci95_low", "ci95_high")])
 
 
+@query
+def diversity(spark: SparkSession, d: str) -> DataFrame:
+    """Interval of the gain of one arm over another on the same items, and the decision on it."""
+    r = _records(spark, d).select("idx", "arm", "fallback_correct")
+    arm = lambda name: r.where(F.col("arm") == name).withColumn("seed", F.lit(42))
+    three = stats.three_way(r.where("arm = 'view'"), arm("click"), arm("purchase"), "idx", "fallback_correct")
+    deltas = three.select("idx", (F.col("large") - F.col("small")).alias("delta"))
+    out = stats.diversity_decision(True, stats.hash_bootstrap(stats.clusters(deltas, "idx"), 200, 20260716))
+    return out.select("n", "reps", "success", *[F.round(c, 9).alias(c) for c in ("estimate", "ci95_low", "ci95_high")])
+
+
 @query
 def level_selection(spark: SparkSession, d: str) -> DataFrame:
     return io.load_levels(table(spark, d, "internal_dev"), "4", 42).select("position", "idx", "type")

@@ -39,6 +39,7 @@ _RECORDS = """(SELECT user_id AS idx, event_type AS arm, CAST(v > 10 AS INT) AS
     SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS v FROM (SELECT * FROM events) GROUP BY 1, 2))"""
 _PAIRS = f"""(SELECT r.idx, r.arm AS seed, r.fallback_correct AS treat, b.fallback_correct AS base
     FROM {_RECORDS} r JOIN {_RECORDS} b ON b.idx = r.idx AND b.arm = 'view' WHERE r.arm <> 'view')"""
+_GAIN = f"(SELECT l.idx, l.fallback_correct AS treat, s.fallback_correct AS base FROM {_RECORDS} l JOIN {_RECORDS} s ON s.idx = l.idx AND s.arm = 'purchase' WHERE l.arm = 'click')"
 _INTERVAL = f"""
     pairs AS (SELECT * FROM {_PAIRS}),
     clusters AS (SELECT idx, avg(treat - base) AS value, row_number() OVER (ORDER BY CAST(idx AS VARCHAR)) - 1 AS place FROM pairs GROUP BY idx),
@@ -179,6 +180,9 @@ SQL: dict[str, str] = {
         round(ci95_low, 9) AS ci95_low, round(ci95_high, 9) AS ci95_high FROM ends""",
     "decision": f"""WITH {_INTERVAL}, seeds AS (SELECT min(delta) AS w, avg(delta) AS m FROM {_SEEDS})
       SELECT w > 0 AND m >= 0.02 AND ci95_low > 0 AS success, round(w, 9) AS worst_delta, round(m, 9) AS mean_delta, round(ci95_low, 9) AS ci95_low, round(ci95_high, 9) AS ci95_high FROM seeds, ends""",
+    "diversity": f"""WITH {_INTERVAL.replace("20260714", "20260716").replace(_PAIRS, _GAIN)}
+      SELECT (SELECT n FROM size) AS n, CAST(200 AS INT) AS reps, e >= 0.02 AND ci95_low > 0 AS success, round(e, 9) AS estimate, round(ci95_low, 9) AS ci95_low, round(ci95_high, 9) AS ci95_high
+      FROM ends, (SELECT sum(value) / (SELECT n FROM size) AS e FROM clusters)""",
     "level_selection": "SELECT row_number() OVER (ORDER BY sha256('42' || chr(0) || CAST(idx AS VARCHAR)), idx) - 1 AS position, idx, type FROM internal_dev WHERE level = 'Level 4'",
     "event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "streamed_totals": "SELECT source, count(*) AS rows, CAST(sum(train_tokens) AS BIGINT) AS train_tokens FROM schedule_manifest GROUP BY 1",

@@ -51,14 +51,21 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts the lineage, so a lost executor costs a re-read and not a recomputation, and keeps an expensive
-    Python stage from running once per consumer.
+    Python stage from running once per consumer. The file system drops the table when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/gradeloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    drop_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_at_end(spark: SparkSession, path: str) -> None:
+    """Have the file system of ``path`` delete it when the application ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 _shipped: set[str] = set()
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.session import shared_folder
+from gradeloom.session import drop_at_end, shared_folder
 
 
 def running_totals(stream: DataFrame, by: str = "source") -> DataFrame:
@@ -45,6 +46,8 @@ def run_available(spark: SparkSession, path: str, build: Callable[[DataFrame], D
     if not at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
         reader, path = reader.option("pathGlobFilter", at.getName()), at.getParent().toString()  # a stream reads folders
     query = build(reader.parquet(path)).writeStream.outputMode(mode).format("memory").queryName(name)
-    query = query.option("checkpointLocation", f"{shared_folder(spark)}/stream-{name}").trigger(availableNow=True).start()
+    state = f"{shared_folder(spark).rstrip('/')}/gradeloom-stream-{uuid.uuid4().hex}"
+    query = query.option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
+    drop_at_end(spark, state)
     return spark.table(name)

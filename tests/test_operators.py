@@ -248,3 +248,12 @@ def test_nearest_vectors(frame):
     for r in got.collect():
         order = sorted((j for j in range(20) if j != r["query"]), key=lambda j: (-math.cos(r["query"] - j), j))
         assert order[r["rank"] - 1] == r.neighbour
+
+
+def test_three_way_and_diversity(frame):
+    base = frame([(1, 0), (2, 1)], "idx long, ok int")
+    large, small = frame([(1, 42, 1), (2, 42, 1)], "idx long, seed int, ok int"), frame([(1, 42, 0), (3, 42, 1)], "idx long, seed int, ok int")
+    assert [tuple(r) for r in stats.three_way(base, large, small, "idx", "ok").select("idx", "seed", "base", "large", "small").collect()] == [(1, 42, 0, 1, 0)]
+    interval = frame([(0.03, 0.01, 0.05), (0.03, -0.01, 0.05), (0.01, 0.005, 0.02)], "estimate double, ci95_low double, ci95_high double")
+    assert [r.success for r in stats.diversity_decision(True, interval).collect()] == [True, False, False]
+    assert not any(r.success for r in stats.diversity_decision(False, interval).collect())
