@@ -55,6 +55,7 @@ RESULT_WORDS = (
 )
 
 _INVISIBLE = re.compile(r"[\u00ad\u034f\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\x00-\x08\x0e-\x1f\x7f]")
+_HAN = re.compile(r"[\u3400-\u9fff]")
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _WRAPPER = re.compile(r"\\(?:boxed|fbox|text|mathrm|textbf|left|right)\b")
 _REFUSAL = re.compile("|".join(f"(?:{p})" for p in REFUSALS.values()))
@@ -88,12 +89,17 @@ def declines(answer: str) -> bool:
     return bool(found) and not _MATH_SIGN.search(text)
 
 
+def _squeezed(text: str) -> bytes:
+    """A text without blanks, letter case and formatting."""
+    plain = text.lower() if text.isascii() else unicodedata.normalize("NFKC", text).lower()
+    return "".join(_FORMATTING.sub(" ", plain).split()).encode("utf-8", "surrogatepass")
+
+
 def own_bytes(question: str, answer: str) -> int:
     """Compressed bytes of the answer with the question as its dictionary."""
-    squeeze = lambda t: " ".join(_FORMATTING.sub(" ", t.lower()).split()).encode("utf-8", "surrogatepass")
-    d = zstandard.ZstdCompressionDict(squeeze(question), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    d = zstandard.ZstdCompressionDict(_squeezed(question), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     params = zstandard.ZstdCompressionParameters.from_level(3, write_content_size=0, write_checksum=0, write_dict_id=0)
-    return len(zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress(squeeze(answer)))
+    return len(zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress(_squeezed(answer)))
 
 
 def copies_question(question: str, answer: str) -> bool:
@@ -191,8 +197,10 @@ def truncated(answer: str, model: TerminalModel) -> bool:
     text = visible(answer)
     if _BOX.search(text[-200:]):
         return False
+    if text.replace("\\$", "").count("$") % 2:
+        return True  # within a formula
     words = re.findall(r"[^\W\d_]{2,}", re.sub(r"\\[A-Za-z]+", " ", text))
-    if len(words) < 2 and text.count("$") % 2 == 0 and text.count("{") == text.count("}") and not text.endswith(("\\", "=", "^", "_", "+")):
+    if len(words) < 2 and len(_HAN.findall(text)) < 4 and text.count("$") % 2 == 0 and text.count("{") == text.count("}") and not text.endswith(("\\", "=", "^", "_", "+")):
         return False  # a bare result
     return model.breaks_off(text) > 0.5
 

@@ -15,6 +15,13 @@ FUNCTION_WORDS = {
     "es": "el la los las y es un una de que por con en se del para lo como al su sus no si ya más son tras cada cuyo cuya entre así "
     "todos todas cuántos cuál sea porque qué",
 }
+# Words that mathematical texts of each language often use.
+SUBJECT_WORDS = {
+    "en": "answer result value sum equals gives yields becomes terms contributes therefore thus since because both sides obtain next step proof number",
+    "de": "antwort ergebnis wert summe gleich gilt erhalten insgesamt somit also daraus folgt sofort zahl gesuchte nun setzen finden seiten beide aufgabe lösung",
+    "fr": "réponse résultat valeur somme égale égal obtient trouve finalement donc maintenant membres nombre cherchée ensemble comme aucune solution",
+    "es": "respuesta resultado valor suma igual obtenemos obtiene hallamos finalmente entonces ahora tomamos ambos lados número buscado deduce tanto solución",
+}
 # Letters that only one of these languages uses often.
 OWN_LETTERS = {"de": "ßäöü", "fr": "çèêàùœîôû", "es": "ñ¿¡íóú"}
 
@@ -22,8 +29,8 @@ _MATH = re.compile(r"\$\$.*?\$\$|\$[^$]*\$|\\\[.*?\\\]|\\\(.*?\\\)|\\[A-Za-z]+",
 _WORD = re.compile(r"[^\W\d_]+")
 _CYRILLIC, _HAN = re.compile(r"[\u0400-\u04ff]"), re.compile(r"[\u3400-\u9fff]")
 _BY_WORD: dict[str, tuple[str, ...]] = {}
-for _lang, _words in FUNCTION_WORDS.items():
-    for _w in set(_words.split()):
+for _lang in FUNCTION_WORDS:
+    for _w in {*FUNCTION_WORDS[_lang].split(), *SUBJECT_WORDS[_lang].split()}:
         _BY_WORD[_w] = (*_BY_WORD.get(_w, ()), _lang)
 _BY_LETTER = {c: lang for lang, letters in OWN_LETTERS.items() for c in letters}
 
