@@ -86,7 +86,7 @@ def local_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list
             break
         e = min(givers, key=lambda k: (fill[k], k))
         if _improve(e, open_bins, bins, fill, sizes, capacity):
-            stuck.clear()
+            stuck.discard(min((k for k in range(len(bins)) if bins[k]), key=lambda k: (fill[k], k)))  # the one to be emptied
         else:
             stuck.add(e)
     return [b for b in bins if b]
