@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from gradeloom.llm.textform import common_forms
+from gradeloom.llm.textform import common_forms, slices
 
 TILE_WORDS = 12
 #: Words of test texts that are sent to the workers at once (at most 40 bytes each, with their seeds).
@@ -59,6 +59,13 @@ def plain_words(texts: list[str]) -> list[str]:
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, index of the text it stands in), over all texts in order."""
+    parts = [(a, *_hashes(texts[a:b])) for a, b in slices(map(len, texts))]
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate([h for _, h, _ in parts]), np.concatenate([owner + a for a, _, owner in parts])
+
+
+def _hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     plain = plain_words(texts)
     points = np.frombuffer("\n".join(plain).encode("utf-32-le", "surrogatepass"), np.uint32)
     inside = _letters_and_digits()[points]

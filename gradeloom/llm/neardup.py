@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from gradeloom.functions.questions import normal_question
 from gradeloom.llm.few import few_rows
+from gradeloom.llm.textform import slices
 from gradeloom.operators.graph import connected_components
 from gradeloom.operators.pairs import pairs_within
 from gradeloom.session import materialize
@@ -145,8 +146,8 @@ def _signatures(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
             n = np.zeros(len(texts), np.int32)
             longs = np.zeros((len(texts), len(PRINTS) + len(DISTANCES)), np.int64)
             lists = np.zeros((len(texts), BANDS), np.int32)
-            for lo in range(0, len(at), 2000):
-                part = at[lo : lo + 2000]
+            for lo, hi in slices((len(texts[i]) + 500 for i in at.tolist()), 2_000_000):  # 500 for the bits of a text
+                part = at[lo:hi]
                 hashes, owner = pieces([texts[i] for i in part])
                 prints = fingerprints(hashes, owner, len(part))
                 near = np.ascontiguousarray(pivot_distances(prints, pivots))

@@ -13,7 +13,7 @@ import functools
 import hashlib
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,9 @@ INVISIBLE = (
 DIFFERENT_LOOK = ("<super>", "<sub>", "<circle>", "<fraction>", "<square>", "<font>", "<vertical>")
 LINE_BREAKS = (0x0D, 0x85, 0x2028, 0x2029)
 
+#: Characters that are exploded at once.
+SLICE_CHARS = 1_000_000
+
 _PLAIN_CONTROL = re.compile(r"[\x00-\x09\x0b-\x1f\x7f]")
 
 
@@ -95,17 +98,36 @@ def is_plain(text: str) -> bool:
     return text.isascii() and not _PLAIN_CONTROL.search(text)
 
 
+def slices(sizes: Iterable[int], most: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
+    """(from, to) of runs of texts with at most ``most`` characters together; a longer text is a run of its own."""
+    begin = total = end = 0
+    for end, n in enumerate(sizes, 1):
+        total += n
+        if total > most and end - begin > 1:
+            yield begin, end - 1
+            begin, total = end - 1, n
+    if end > begin:
+        yield begin, end
+
+
 def common_forms(texts: list[str]) -> list[str]:
-    """The common form of each text (no nulls)."""
+    """The common form of each text (no nulls); whole texts, a bounded number of characters at a time."""
     out = list(texts)
     odd = [i for i, t in enumerate(texts) if not is_plain(t)]
-    if not odd:
-        return out
+    for a, b in slices(len(texts[i]) for i in odd):
+        for i, form in zip(odd[a:b], _forms([texts[i] for i in odd[a:b]])):
+            out[i] = form
+    return out
+
+
+def _forms(texts: list[str]) -> list[str]:
+    odd = range(len(texts))
+    out = list(texts)
     special, start, length, target, marks = _tables()
     raw = [np.frombuffer(texts[i].replace("\r\n", "\n").encode("utf-32-le", "surrogatepass"), np.uint32) for i in odd]
     sizes = np.array([len(r) for r in raw], np.int64)
     points = np.concatenate(raw)
-    owner = np.repeat(np.arange(len(odd)), sizes)
+    owner = np.repeat(np.arange(len(odd), dtype=np.int32), sizes)
 
     hit = special[points]
     if hit.any():

@@ -2,7 +2,7 @@ import unicodedata
 
 import pytest
 
-from gradeloom.llm.textform import common_forms, look_alike_pairs, normalize_texts
+from gradeloom.llm.textform import common_forms, look_alike_pairs, normalize_texts, slices
 
 
 @pytest.mark.parametrize(
@@ -38,3 +38,9 @@ def test_pairs(frame):
     df = frame([(k, t, "x", 0) for k, t in rows], "doc_id long, text string, look string, key int")
     assert sorted(map(tuple, look_alike_pairs(df).collect())) == [(1, 2), (2, 4)]
     assert look_alike_pairs(df.limit(0)).count() == 0
+
+
+def test_slices():
+    assert list(slices([])) == [] and list(slices([5, 5, 5], 10)) == [(0, 2), (2, 3)] and list(slices([50, 1, 50], 10)) == [(0, 1), (1, 2), (2, 3)]
+    texts = ["é" * n for n in (3, 700_000, 1, 0, 900_000, 2)]
+    assert common_forms(texts) == ["é" * n for n in (3, 700_000, 1, 0, 900_000, 2)]
