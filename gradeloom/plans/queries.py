@@ -288,7 +288,7 @@ def replay_cycle(spark: SparkSession, d: str) -> DataFrame:
 @query
 def exposures(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "prepared_corpus").select("row_hash", "train_tokens")
-    return S.expand_exposures(rows, rows.count() * 3, "deepmath_large")
+    return S.expand_exposures(rows, rows.count() * 3, "corpus_large")
 
 
 @query

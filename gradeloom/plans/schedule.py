@@ -59,7 +59,7 @@ def build_schedules(prepared: DataFrame, replay: DataFrame, master_rows: int, sm
 
     def arm(name: str, chosen: DataFrame) -> DataFrame:
         tokens = ["prompt_tokens", "assistant_tokens", "train_tokens"]
-        own = S.expand_exposures(chosen, exposures, f"deepmath_{name}").select("source", F.col("row_hash").alias("source_row_hash"), "repeat_id", *tokens)
+        own = S.expand_exposures(chosen, exposures, f"corpus_{name}").select("source", F.col("row_hash").alias("source_row_hash"), "repeat_id", *tokens)
         again = common.select("source", F.col("row_hash").alias("source_row_hash"), F.col("question_hash").alias("source_question_hash"), F.col("family_hash").alias("source_family_hash"), "repeat_id", "exposure", *tokens)
         rows = S.union_sources(own.withColumn("_part", F.lit(0)), again.withColumn("_part", F.lit(1)))
         listed = global_rank(rows, ["_part", "exposure", "repeat_id", "source_row_hash"], "_place")

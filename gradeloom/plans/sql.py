@@ -139,8 +139,8 @@ SQL: dict[str, str] = {
         count(*) FILTER (outcome = 'dropped_family') AS dropped_family, count(DISTINCT question_hash) FILTER (outcome = 'kept') AS kept_questions, true AS closed FROM {_OUTCOMES}""",
     "replay_cycle": """WITH o AS (SELECT row_hash, row_number() OVER (ORDER BY sha256('replay-v1' || chr(0) || row_hash), row_hash) - 1 AS place, count(*) OVER () AS n FROM replay_pool)
       SELECT i.range AS exposure, CAST(i.range // n AS INT) AS repeat_id, row_hash FROM range((SELECT count(*) * 5 // 2 FROM replay_pool)) i JOIN o ON o.place = i.range % o.n""",
-    "exposures": "SELECT row_hash, train_tokens, 'deepmath_large' AS source, CAST(i.range AS INT) AS repeat_id FROM prepared_corpus, range(3) i",
-    "schedule_union": """SELECT 'deepmath_large' AS source, count(*) * 3 AS n, count(train_tokens) * 3 AS with_tokens, 0 AS with_exposure FROM prepared_corpus
+    "exposures": "SELECT row_hash, train_tokens, 'corpus_large' AS source, CAST(i.range AS INT) AS repeat_id FROM prepared_corpus, range(3) i",
+    "schedule_union": """SELECT 'corpus_large' AS source, count(*) * 3 AS n, count(train_tokens) * 3 AS with_tokens, 0 AS with_exposure FROM prepared_corpus
       UNION ALL SELECT 'math_replay', count(*) * 5 // 2, 0, count(*) * 5 // 2 FROM replay_pool""",
     "corpus_leaks": """SELECT question_hash, 'prepared-replay' AS between FROM (SELECT question_hash FROM prepared_corpus WHERE question_hash IS NOT NULL INTERSECT SELECT question_hash FROM replay_pool)
       UNION ALL SELECT question_hash, 'prepared-dev' FROM (SELECT question_hash FROM prepared_corpus WHERE question_hash IS NOT NULL INTERSECT SELECT question_hash FROM internal_dev)
