@@ -4,6 +4,8 @@ Only sizes are shuffled. They are dealt to blocks by a hash; inside a block a be
 search over the underfull bins: the emptiest bin gives documents away by moves, by exchanges of one for one, of two
 for one and of one for two, each of which raises the sum of squared fills, until it is empty or nothing helps. The
 bins that stay underfull go on to the next round, where those of many blocks meet, until one block holds them all.
+Where texts do not fit together, as many of one size above half the capacity, a round changes little: then bins over
+half full stay as they are and only the others, of which a block has one at most, go on.
 """
 
 from __future__ import annotations
@@ -29,6 +31,10 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 BLOCK_ITEMS = 4096
 #: A bin at least this full is left as it is.
 FULL = 0.995
+#: A round that lowers neither the underfull bins nor their texts by this share is the last for bins over half full.
+GAIN = 0.01
+#: A block has texts for at least so many sequences, however short they are.
+BLOCK_SEQUENCES = 8
 
 _encoders: dict[str, object] = {}
 
@@ -160,23 +166,26 @@ def pack(sizes: DataFrame, key: str, capacity: int, block_items: int = BLOCK_ITE
     left = cut.where(F.col("n_tokens") < capacity)
     schema = T.StructType(
         [T.StructField("sequence_id", T.StringType()), T.StructField("place", T.IntegerType()), sizes.schema[key]]
-        + [T.StructField("piece", T.IntegerType()), T.StructField("token_start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("_full", T.BooleanType())]
+        + [T.StructField("piece", T.IntegerType()), T.StructField("token_start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("_fill", T.LongType())]
     )
-    out = whole
-    for turn in range(20):
-        blocks = max(1, -(-left.count() // block_items))
-
-        fill_bins = _filler(key, capacity, turn, blocks == 1, schema.names)
+    out, turn, bins = whole, 0, None
+    while True:
+        items, tokens = left.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+        blocks = max(1, min(-(-items // block_items), tokens // (BLOCK_SEQUENCES * capacity)))
         dealt = left.withColumn("_block", F.pmod(F.xxhash64(F.lit(turn), key, "piece"), F.lit(blocks)))
-        packed = materialize(dealt.groupBy("_block").applyInPandas(fill_bins, schema), "packed")
-        out = out.unionByName(packed.where("_full").drop("_full"))
+        packed = materialize(dealt.groupBy("_block").applyInPandas(_filler(key, capacity, turn, schema.names), schema), "packed")
         if blocks == 1:
-            return out
-        left = packed.where("not _full").select(key, "piece", "token_start", "n_tokens")
-    raise RuntimeError("the underfull bins did not become fewer")
+            return out.unionByName(packed.drop("_fill"))
+        stays = F.col("_fill") < FULL * capacity
+        open_items, open_bins = packed.where(stays).agg(F.count("*"), F.countDistinct("sequence_id")).first()
+        if open_items > (1 - GAIN) * items and open_bins > (1 - GAIN) * (bins or items):  # only what surely gets fewer is dealt again
+            stays = 2 * F.col("_fill") <= capacity
+        out = out.unionByName(packed.where(~stays).drop("_fill"))
+        left = packed.where(stays).select(key, "piece", "token_start", "n_tokens")
+        turn, bins = turn + 1, open_bins
 
 
-def _filler(key: str, capacity: int, turn: int, last: bool, names: list[str]):
+def _filler(key: str, capacity: int, turn: int, names: list[str]):
     """The bins of one block."""
 
     def fill_bins(part: pd.DataFrame) -> pd.DataFrame:
@@ -186,7 +195,7 @@ def _filler(key: str, capacity: int, turn: int, last: bool, names: list[str]):
         done = part.iloc[[i for b in bins for i in b]].copy()
         done["sequence_id"] = [f"{turn}-{part['_block'].iloc[0]}-{n}" for n, b in enumerate(bins) for _ in b]
         done["place"] = np.array([p for b in bins for p in range(len(b))], np.int32)
-        done["_full"] = [last or sum(size[i] for i in b) >= FULL * capacity for b in bins for _ in b]
+        done["_fill"] = [fill for b in bins for fill in [sum(size[i] for i in b)] for _ in b]
         return done[names]
 
     return fill_bins

@@ -34,6 +34,13 @@ def test_whole_texts_in_few_sequences(frame):
     assert len(fill) <= -(-sum(sizes.values()) // 1000) * 1.02 + 1
 
 
+@pytest.mark.parametrize(("size", "n", "sequences"), [(600, 200, 200), (400, 201, 101), (1, 1500, 2)])
+def test_sizes_that_do_not_fill_a_sequence(frame, size, n, sequences):
+    sizes = dict.fromkeys(range(n), size)
+    fill = check(P.pack(frame(list(sizes.items()), "doc_id long, n_tokens long"), "doc_id", 1000, block_items=20).collect(), sizes, 1000)
+    assert len(fill) == sequences
+
+
 def test_edges(frame):
     df = frame([(*t, "q") for t in TEXTS], "doc_id long, text string, n_tokens string")
     rows = P.pack_texts(df, 500).collect()
