@@ -411,7 +411,7 @@ def arm_comparison(spark: SparkSession, d: str) -> DataFrame:
 
 def _interval(spark: SparkSession, d: str) -> DataFrame:
     deltas = _pairs(spark, d).select("idx", (F.col("treat") - F.col("base")).alias("delta"))
-    return stats.hash_bootstrap(stats.clusters(deltas, "idx"), 200, 20260714)
+    return stats.hash_bootstrap(stats.clusters(deltas, "idx"), 10_000, 20260714)
 
 
 @query
@@ -432,7 +432,7 @@ def diversity(spark: SparkSession, d: str) -> DataFrame:
     arm = lambda name: r.where(F.col("arm") == name).withColumn("seed", F.lit(42))
     three = stats.three_way(r.where("arm = 'view'"), arm("click"), arm("purchase"), "idx", "fallback_correct")
     deltas = three.select("idx", (F.col("large") - F.col("small")).alias("delta"))
-    out = stats.diversity_decision(True, stats.hash_bootstrap(stats.clusters(deltas, "idx"), 200, 20260716))
+    out = stats.diversity_decision(True, stats.hash_bootstrap(stats.clusters(deltas, "idx"), 10_000, 20260716))
     return out.select("n", "reps", "success", *[F.round(c, 9).alias(c) for c in ("estimate", "ci95_low", "ci95_high")])
 
 

@@ -32,6 +32,16 @@ def test_recorded_hashes_agree(spark):
     assert question_drift(spark, DATA).count() == 0
 
 
+def test_intervals_have_all_replicates(spark):
+    from gradeloom.plans.queries import bootstrap_interval, decision, diversity
+
+    d = DATA.replace("sf0.001", "sf0.01")
+    interval = bootstrap_interval(spark, d).first()
+    assert interval.reps == diversity(spark, d).first().reps == 10_000
+    both = decision(spark, d).first()
+    assert (both.ci95_low, both.ci95_high) == (interval.ci95_low, interval.ci95_high)
+
+
 def test_core_stands_alone(monkeypatch):
     for name in [m for m in sys.modules if m.startswith("gradeloom.llm")]:
         monkeypatch.delitem(sys.modules, name)

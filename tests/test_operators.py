@@ -179,6 +179,17 @@ def test_bootstrap(frame):
         stats.hash_bootstrap(frame([], "place long, value double"), 10, 7)
 
 
+def test_bootstrap_is_that_of_all_draws(frame):
+    import hashlib
+    import numpy as np
+
+    values = [0.0, 1.0, -1.0, 0.5, 1.0, 0.0, -0.5]
+    draw = lambda r, i: values[int(hashlib.md5(f"{r},{i},3".encode()).hexdigest()[:8], 16) % 7]
+    means = [sum(draw(r, i) for i in range(7)) / 7 for r in range(10_000)]
+    got = stats.hash_bootstrap(frame(list(enumerate(values)), "place long, value double"), 10_000, 3).first()
+    assert got.reps == 10_000 and [got.ci95_low, got.ci95_high] == pytest.approx(np.percentile(means, [2.5, 97.5]).tolist())
+
+
 def test_audits(frame):
     rows = frame([("a", 0, "q1"), ("a", 1, "q2"), ("b", 1, None), ("b", 1, None), (None, 5, "x")], "k string, n int, q string")
     assert {r.k for r in audit.duplicate_keys(rows, ["k"]).collect()} == {"a", "b"}
