@@ -80,18 +80,24 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def local_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
-    """Empty the emptiest bins by moves and exchanges that raise the sum of squared fills."""
+    """Empty the emptiest bins by moves and exchanges that raise the sum of squared fills, until none helps any bin."""
     least = -(-sum(sizes) // capacity)
     bins = [list(b) for b in bins]
     stuck: set[int] = set()
+    stepped = False  # since no bin was stuck
     fill = [sum(sizes[i] for i in b) for b in bins]
     while sum(1 for b in bins if b) > least:
         open_bins = [k for k in range(len(bins)) if bins[k] and fill[k] < capacity]
         givers = [k for k in open_bins if k not in stuck]
-        if len(open_bins) < 2 or not givers:
+        if len(open_bins) < 2 or not (givers or stepped):
             break
+        if not givers:  # the others have changed: once more through all of them
+            stuck.clear()
+            stepped = False
+            continue
         e = min(givers, key=lambda k: (fill[k], k))
         if _improve(e, open_bins, bins, fill, sizes, capacity):
+            stepped = True
             stuck.discard(min((k for k in range(len(bins)) if bins[k]), key=lambda k: (fill[k], k)))  # the one to be emptied
         else:
             stuck.add(e)

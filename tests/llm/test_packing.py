@@ -69,6 +69,16 @@ def test_local_search_keeps_items_and_capacity_at_random():
         assert len(bins) <= len(P.best_fit(sizes, 100)) + 2
 
 
+def test_local_search_ends_where_no_step_is_left():
+    rng = random.Random(2)
+    for _ in range(40):
+        sizes = [rng.randrange(100, 701) for _ in range(rng.randrange(40, 91))]
+        bins = P.local_search(P.best_fit(sizes, 1000), sizes, 1000)
+        fill = [sum(sizes[i] for i in b) for b in bins]
+        open_bins = [k for k, f in enumerate(fill) if f < 1000]
+        assert len(bins) == -(-sum(sizes) // 1000) or not any(P._improve(k, open_bins, bins, fill, sizes, 1000) for k in open_bins)
+
+
 def test_token_sizes_are_those_of_whole_texts(frame):
     long = "word " * 30_000
     got = {r[0]: r[1] for r in P.token_sizes(frame([(1, long), (2, "\ud83d".encode("utf-8", "ignore").decode() + "é")], "doc_id long, text string"), "doc_id", "text", P.TOKENIZER).collect()}
