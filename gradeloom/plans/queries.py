@@ -209,7 +209,7 @@ def row_digests(spark: SparkSession, d: str) -> DataFrame:
 @query
 def prompts(spark: SparkSession, d: str) -> DataFrame:
     p = text.prompt(F.col("question"))
-    return _questions(spark, d).select("train_idx", F.sha2(p, 256).alias("prompt_sha256"), text.prompt_version().alias("version"), text.slug(F.substring("question", 1, 40)).alias("slug"))
+    return _questions(spark, d).select("train_idx", F.sha2(p, 256).alias("prompt_sha256"), text.prompt_version().alias("version"), text.slug(F.col("question")).alias("slug"))
 
 
 @query

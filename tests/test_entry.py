@@ -42,6 +42,16 @@ def test_intervals_have_all_replicates(spark):
     assert (both.ci95_low, both.ci95_high) == (interval.ci95_low, interval.ci95_high)
 
 
+def test_slugs_are_of_whole_questions(spark):
+    import re
+
+    from gradeloom.plans.queries import prompts
+
+    asked = {r.train_idx: r.question for r in spark.read.parquet(f"{DATA}/dm_large_train.parquet").collect()}
+    rows = prompts(spark, DATA).where("slug is not null").collect()
+    assert rows and all(r.slug == re.sub("[^a-z0-9]+", "-", asked[r.train_idx].lower()).strip("-") for r in rows)
+
+
 def test_core_stands_alone(monkeypatch):
     for name in [m for m in sys.modules if m.startswith("gradeloom.llm")]:
         monkeypatch.delitem(sys.modules, name)
