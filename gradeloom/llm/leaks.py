@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from gradeloom.llm.textform import common_forms, slices
+from gradeloom.llm.textform import MARKUP, common_forms, slices
 
 TILE_WORDS = 12
 #: Words of test texts that are sent to the workers at once (at most 40 bytes each, with their seeds).
@@ -32,7 +32,7 @@ BLOCK_WORDS = 500_000
 WHOLE = 0.8
 FILTER_BITS = 22
 
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
+_TAG = re.compile(rf"{MARKUP}|</?[A-Za-z][^<>\n]{{0,200}}>")
 _COMMAND = re.compile(r"\\(?!boxed)[A-Za-z]+")
 _LETTER, _MIX, _RUN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
 _POWERS = np.cumprod(np.full(1024, _LETTER, np.uint64))

@@ -46,6 +46,10 @@ LINE_BREAKS = (0x0D, 0x85, 0x2028, 0x2029)
 #: Characters that are exploded at once.
 SLICE_CHARS = 1_000_000
 
+# Markup of any length and over line breaks: a name with attributes, at least one of which has a value, or with none.
+_VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s"'<>=][^\s"'<>]*)"""
+MARKUP = rf"""</?[A-Za-z][\w:-]*+(?:(?=[^<>=]*=)(?:\s++[A-Za-z_:@][\w:.-]*+(?:\s*+=\s*+{_VALUE})?)+)?\s*+/?>"""
+
 _PLAIN_CONTROL = re.compile(r"[\x00-\x09\x0b-\x1f\x7f]")
 
 

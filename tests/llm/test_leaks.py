@@ -18,6 +18,18 @@ def brute(docs, items, k):
     return found
 
 
+def test_markup_of_any_length_is_no_words(frame):
+    tags = ['<span style="' + "color: red; " * 40 + '">', "<a\n  href='x?a=1&b=2'\n  class=wide\n>", '<img alt="a > b" src="data:image/png;base64,' + "Ab9/" * 500 + '" />', "</span\n>"]
+    for tag in tags:
+        assert plain_words([f"one {tag} two"])[0].split() == ["one", "two"]
+    prose = "if a <b, c = 2 and " + "so it goes on " * 30 + "until d> 3"
+    assert plain_words([prose])[0] == prose
+    item = " ".join(WORDS[:14])
+    docs = [(n, " ".join([*WORDS[:7], tag, *WORDS[7:14]]), "t", 0) for n, tag in enumerate(tags)]
+    found = leaks(frame(docs, "doc_id long, text string, source string, n int"), frame([(1, item, "")], "idx long, problem string, solution string"))
+    assert {r.doc_id for r in found.where("longest >= 12").collect()} == set(range(len(tags)))
+
+
 def test_against_brute_force(frame):
     rng = random.Random(3)
     text = lambda n: " ".join(rng.choices(WORDS, k=n))
