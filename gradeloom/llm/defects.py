@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from gradeloom.llm.few import few_rows
 from gradeloom.llm.language import language
+from gradeloom.llm.textform import MARKUP
 
 #: Most rows the model of terminal contexts is fitted on (those with the smallest hashes of the key).
 SAMPLE_ROWS = 4000
@@ -56,7 +57,8 @@ RESULT_WORDS = (
 
 _INVISIBLE = re.compile(r"[\u00ad\u034f\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\x00-\x08\x0e-\x1f\x7f]")
 _HAN = re.compile(r"[\u3400-\u9fff]")
-_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
+_TAG = re.compile(rf"{MARKUP}|</?[A-Za-z][^<>]{{0,58}}>")
+_MORE_THAN_A_PLACEHOLDER = re.compile(rf"(?:[^\W_][\W_]*+){{{max(map(len, PLACEHOLDERS)) + 1}}}")
 _WRAPPER = re.compile(r"\\(?:boxed|fbox|text|mathrm|textbf|left|right)\b")
 _REFUSAL = re.compile("|".join(f"(?:{p})" for p in REFUSALS.values()))
 _MATH_SIGN = re.compile(r"[$\\=]|\d")
@@ -74,10 +76,9 @@ def visible(text: str | None) -> str:
 
 def says_nothing(answer: str | None) -> bool:
     """Null, blank, invisible, wrappers around nothing, or a mere placeholder."""
-    text = visible(answer)
-    if len(text) > 60:
+    text = _WRAPPER.sub("", _TAG.sub("", visible(answer)))
+    if _MORE_THAN_A_PLACEHOLDER.search(text):
         return False
-    text = _WRAPPER.sub("", _TAG.sub("", text))
     text = "".join(c for c in text.casefold() if not c.isspace() and not (unicodedata.category(c)[0] == "P" or c in "$`^|~+=<>"))
     return not text or text in PLACEHOLDERS
 

@@ -19,6 +19,16 @@ def test_empty(answer, model):
     assert D.defect(QUESTION, answer, model) == "empty"
 
 
+@pytest.mark.parametrize("answer", ["." * 61, "- " * 500, "_" * 20_000, "\\boxed{\\text{}} " * 30, "<p></p>\n" * 40, '<div style="' + "margin: 0; " * 30 + '">\n</div>', "N/A" + "." * 100])
+def test_empty_at_any_length(answer, model):
+    assert D.defect(QUESTION, answer, model) == "empty"
+
+
+@pytest.mark.parametrize("answer", ["." * 200 + "7", "<The set of all the numbers " + "that we have looked at so far " * 5 + ">"])
+def test_long_answers_that_say_something(answer):
+    assert not D.says_nothing(answer)
+
+
 @pytest.mark.parametrize("answer", ["0", "1", "$\\boxed{1}$", "-3", "$\\infty$", "\\boxed{\\emptyset}", "No.", SOLVED])
 def test_sound(answer, model):
     assert D.defect(QUESTION, answer, model) is None
