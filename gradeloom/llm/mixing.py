@@ -9,6 +9,7 @@ copies of their factor, and one more by the pivotal method with the rest as chan
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,18 +21,26 @@ from gradeloom.llm.moments import MAX_CATEGORIES, add_up
 from gradeloom.llm.pivotal import pivotal_sample
 from gradeloom.session import materialize
 
-#: Rounds of raking, and the change of the factors at which they end.
-SWEEPS = 12
-CLOSE = 1e-3
+#: Margins are raked until each is within this share of its goal.
+CLOSE = 1e-4
+#: Most rounds of raking; those that end without being close are reported. Over more than ``LOCAL_CELLS`` cells each
+#: round is three passes of the cluster, so there are fewer.
+SWEEPS, CLUSTER_SWEEPS = 20_000, 1_000
+#: Most cells that are raked on the driver.
+LOCAL_CELLS = 100_000
 
 
 @dataclass
 class Mix:
-    """``pool``: the distinct rows with their factor; ``report``: one row per arm and listed source."""
+    """``pool``: the distinct rows with their factor; ``report``: one row per arm and listed source.
+
+    ``furthest`` is the largest distance of a margin from its goal as a share of that, over ``CLOSE`` if raking did not converge.
+    """
 
     pool: DataFrame
     report: DataFrame
     seed: str
+    furthest: float = 0.0
 
     def rows(self) -> DataFrame:
         """(arm, schedule_idx, source, train_tokens, repeat): one row per copy, ``repeat`` from 1."""
@@ -84,7 +93,7 @@ def mix(manifest: DataFrame, targets: DataFrame, languages: DataFrame | None = N
             raise ValueError(f"more than {MAX_CATEGORIES} values of {c}")
         numbers.append({tuple(v): i for i, v in enumerate(sorted(map(tuple, values)))})
     cells = materialize(cells, "cells")
-    factors, pools = _rake(cells, names, goals, numbers)
+    factors, pools, furthest = _rake(cells, names, goals, numbers)
 
     a, b, c = factors
 
@@ -102,7 +111,7 @@ def mix(manifest: DataFrame, targets: DataFrame, languages: DataFrame | None = N
         own, total = int(pools[i]), int(totals[arm])
         lines.append((arm, name, share, cap, own, total, share * total, not cap * own < share * total))
     report = spark.createDataFrame(lines, "arm string, source string, target_share double, max_repeats int, pool_tokens long, total_tokens long, target_tokens double, reachable boolean")
-    return Mix(pool.withColumn("factor", factor("arm", "s", "cap", "topic", "language")), report, seed)
+    return Mix(pool.withColumn("factor", factor("arm", "s", "cap", "topic", "language")), report, seed, furthest)
 
 
 def _numbers(arm, values, number: dict) -> np.ndarray:
@@ -110,44 +119,71 @@ def _numbers(arm, values, number: dict) -> np.ndarray:
     return np.array([-1 if v is None or v != v else number[x, v] for x, v in zip(arm, values)], np.int64)
 
 
-def _rake(cells: DataFrame, names, goals, numbers) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
-    """((source, topic, language factors), pool of each source)."""
+def _rake(cells: DataFrame, names, goals, numbers) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray, float]:
+    """((source, topic, language factors), pool of each source, largest distance of a margin as a share of its goal).
+
+    A source whose goal is all that its cap allows has an infinite factor, so its cells are at the cap.
+    """
     sizes = (len(names), len(numbers[0]), len(numbers[1]))
 
-    def margins(f):
-        def of(batch):
-            at = (batch["s"].to_numpy(), _numbers(batch["arm"], batch["topic"], numbers[0]), _numbers(batch["arm"], batch["language"], numbers[1]))
-            w = f[0][at[0]] * np.append(f[1], 1.0)[at[1]] * np.append(f[2], 1.0)[at[2]]
-            w = np.minimum(w, batch["cap"].to_numpy()) * batch["tokens"].to_numpy()
-            return tuple(np.bincount(np.where(i < 0, n, i), w, minlength=n + 1)[:n] for i, n in zip(at, sizes))
+    def places(batch):
+        return batch["s"].to_numpy(), _numbers(batch["arm"], batch["topic"], numbers[0]), _numbers(batch["arm"], batch["language"], numbers[1])
 
-        return add_up(cells, of) or tuple(np.zeros(n) for n in sizes)
+    def sums(at, w):
+        return tuple(np.bincount(np.where(i < 0, n, i), w, minlength=n + 1)[:n] for i, n in zip(at, sizes))
 
-    # The pool itself: factors of 1, and caps that may be 0, are looked at apart.
-    def whole(batch):
-        at = (batch["s"].to_numpy(), _numbers(batch["arm"], batch["topic"], numbers[0]), _numbers(batch["arm"], batch["language"], numbers[1]))
-        return tuple(np.bincount(np.where(i < 0, n, i), batch["tokens"].to_numpy(), minlength=n + 1)[:n] for i, n in zip(at, sizes))
+    def weights(f, at, cap, tokens):
+        return np.minimum(f[0][at[0]] * np.append(f[1], 1.0)[at[1]] * np.append(f[2], 1.0)[at[2]], cap) * tokens
 
-    natural = add_up(cells, whole) or tuple(np.zeros(n) for n in sizes)
+    few = cells.limit(LOCAL_CELLS + 1).toPandas()
+    local = len(few) <= LOCAL_CELLS
+    if local:
+        few = few.sort_values(["arm", "s", "topic", "language"], kind="stable")
+        here, caps, tokens = places(few), few["cap"].to_numpy(), few["tokens"].to_numpy()
+    del few
+
+    def margins(f):
+        if local:
+            return sums(here, weights(f, here, caps, tokens))
+        return add_up(cells, lambda batch: sums(at := places(batch), weights(f, at, batch["cap"].to_numpy(), batch["tokens"].to_numpy())))
+
+    # The pool itself: factors of 1, and caps that may be 0, are looked at apart.
+    natural = sums(here, tokens) if local else add_up(cells, lambda batch: sums(places(batch), batch["tokens"].to_numpy()))
     pools = natural[0]
     arms = [np.array([k[0] for k in keys], object) for keys in (names, sorted(numbers[0]), sorted(numbers[1]))]
     total = {arm: pools[arms[0] == arm].sum() for arm in set(arms[0])}
-    goal = np.array([min(goals[n][1] * total[n[0]], goals[n][2] * pools[i]) for i, n in enumerate(names)])
+    most = np.array([goals[n][2] * pools[i] for i, n in enumerate(names)])
+    goal = np.minimum([goals[n][1] * total[n[0]] for n in names], most)
     f = [np.divide(goal, pools, out=np.zeros(len(names)), where=pools > 0), np.ones(sizes[1]), np.ones(sizes[2])]
-    for _ in range(SWEEPS):
-        before = [x.copy() for x in f]
-        for k in (1, 2, 0):
-            now = margins(f)[k]
-            if k == 0:
-                want = goal
-            else:  # the natural shares of what is known, at the size it has now
-                want = np.zeros(sizes[k])
-                for arm in set(arms[k]):
-                    mine = arms[k] == arm
-                    known = natural[k][mine].sum()
-                    want[mine] = natural[k][mine] / known * now[mine].sum() if known > 0 else 0.0
-            ratio = np.divide(want, now, out=np.ones_like(f[k]), where=now > 0)
-            f[k] = np.clip(f[k] * np.clip(ratio, 0.2, 5.0), 0.0, 1e6)
-        if max(np.abs(x - y).max(initial=0.0) for x, y in zip(f, before)) < CLOSE:
+    f[0][goal >= most] = np.inf
+    mine = [[arms[k] == arm for arm in sorted(set(arms[k]))] for k in range(3)]
+
+    def wanted(k: int, now: np.ndarray) -> np.ndarray:
+        if k == 0:
+            return goal
+        want = np.zeros(sizes[k])  # the natural shares of what is known, at the size it has now
+        for own in mine[k]:
+            known = natural[k][own].sum()
+            want[own] = natural[k][own] / known * now[own].sum() if known > 0 else 0.0
+        return want
+
+    def distance(now) -> float:
+        far = [np.divide(np.abs(m - w), w, out=np.zeros_like(w), where=w > 0).max(initial=0.0) for k, m in enumerate(now) for w in [wanted(k, m)]]
+        return float(max(far))
+
+    now = margins(f)
+    for _ in range(SWEEPS if local else CLUSTER_SWEEPS):
+        if distance(now) <= CLOSE:
             break
-    return (f[0], f[1], f[2]), pools
+        for k in (1, 2, 0):
+            ratio = np.divide(wanted(k, now[k]), now[k], out=np.ones_like(f[k]), where=now[k] > 0)
+            f[k] = f[k] * np.clip(ratio, 0.2, 5.0)
+            if k:
+                f[k] = np.clip(f[k], 1e-9, 1e9)
+            else:
+                f[k] = np.where(goal >= most, np.inf, np.minimum(f[k], 1e18))
+            now = margins(f)
+    furthest = distance(now)
+    if furthest > CLOSE:
+        warnings.warn(f"raking did not converge: a margin is {furthest:.2%} from its goal", stacklevel=3)
+    return (f[0], f[1], f[2]), pools, furthest

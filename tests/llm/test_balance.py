@@ -1,4 +1,6 @@
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from gradeloom.llm import calibration, mixing
 from gradeloom.llm.pivotal import pivotal, pivotal_sample
@@ -32,6 +34,34 @@ def test_mix_tells_what_cannot_be_reached(frame):
     assert report["b", "big"].pool_tokens == 0 and report["b", "big"].reachable
 
 
+def skewed(frame):
+    sources = {"small": (1, 30), "mid": (3, 120), "big": (40, 9)}
+    rows = [("a", 1000 * k + i, s, "t1" if i % 40 < n1 else "t%d" % (2 + i % n2 % 3), 0, 50 + i % 30, "x", "y") for k, (s, (n1, n2)) in enumerate(sources.items()) for i in range(300)]
+    return frame(rows, ROWS), frame([("a", "small", 0.9, 2), ("a", "mid", 0.25, 3), ("a", "big", 0.08, 1)], MIX)
+
+
+def test_mix_gives_all_copies_that_the_cap_allows(frame):
+    rows, targets = skewed(frame)
+    plan = mixing.mix(rows, targets)
+    assert plan.pool.where("source = 'small' and factor < 2").count() == 0
+    got = plan.shares(plan.rows()).where("source = 'small'").first()
+    assert not got.reachable and got.mixed_tokens == 2 * got.pool_tokens
+
+
+def test_mix_is_raked_until_margins_are_close_or_says_so(frame, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [("a", i, "abc"[int(rng.integers(3))], "t%d" % min(3, int(rng.exponential())), 0, 50 + i % 30, "x", "y") for i in range(900)]
+    targets = frame([("a", "a", 0.5, 4), ("a", "b", 0.2, 4), ("a", "c", 0.3, 4)], MIX)
+    plan = mixing.mix(frame(rows, ROWS), targets)
+    tokens = lambda by, w: {r[0]: r[1] for r in plan.pool.groupBy(by).agg(F.sum(F.expr(w))).collect()}
+    topics, natural, sources, total = tokens("topic", "factor * train_tokens"), tokens("topic", "train_tokens"), tokens("source", "factor * train_tokens"), sum(r[5] for r in rows)
+    assert all(abs(topics[t] / natural[t] - 1) <= 2 * mixing.CLOSE for t in natural) and plan.furthest <= mixing.CLOSE
+    assert all(abs(sources[s] / (share * total) - 1) <= mixing.CLOSE for s, share in [("a", 0.5), ("b", 0.2), ("c", 0.3)])
+    monkeypatch.setattr(mixing, "SWEEPS", 0)
+    with pytest.warns(UserWarning, match="did not converge"):
+        assert mixing.mix(*skewed(frame)).furthest > mixing.CLOSE
+
+
 def test_mix_of_nothing(frame):
     targets = frame([("a", "big", 1.0, 1)], MIX)
     empty = mixing.mix(manifest(frame).limit(0), targets)
