@@ -26,11 +26,12 @@ from gradeloom.session import materialize
 
 # Letters of other scripts whose glyphs equal a Latin letter's.
 LOOK_ALIKES = {
-    "A": "ΑАᎪ", "B": "ΒВᏴ", "C": "ϹСᏟ", "D": "Ꭰ", "E": "ΕЕᎬ", "H": "ΗНᎻ", "I": "ΙІӀ", "J": "ЈᎫ", "K": "ΚКᏦ", "L": "Ꮮ",
-    "M": "ΜМᎷ", "N": "Ν", "O": "ΟОՕ", "P": "ΡРᏢ", "Q": "Ԛ", "S": "ЅᏚ", "T": "ΤТᎢ", "V": "Ꮩ", "W": "ԜᎳ", "X": "ΧХ",
-    "Y": "ΥУҮ", "Z": "ΖᏃ", "a": "аɑ", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һ", "i": "і", "j": "јϳ", "o": "οоօ",
-    "p": "р", "q": "ԛ", "s": "ѕ", "w": "ԝ", "x": "х", "y": "у", "-": "‐‑", ":": "∶", "/": "⁄∕",
-    "|": "∣ǀ",
+    "A": "ΑАᎪꓮ", "B": "ΒВᏴⲂꓐ", "C": "ϹСᏟⲤꓚ", "D": "Ꭰꓓ", "E": "ΕЕᎬꓰ", "F": "Ϝꓝ", "G": "ᏀԌꓖ", "H": "ΗНᎻⲎꓧ", "I": "ΙІӀⲒꓲ",
+    "J": "ЈᎫͿꓙ", "K": "ΚКᏦⲔꓗ", "L": "ᏞⳐꓡ", "M": "ΜМᎷϺⲘꓟ", "N": "ΝⲚꓠ", "O": "ΟОՕⲞꓳ", "P": "ΡРᏢⲢꓑ", "Q": "Ԛ", "R": "ᎡᏒꓣ",
+    "S": "ЅᏚՏᏕꓢ", "T": "ΤТᎢⲦꓔ", "U": "Սꓴ", "V": "ᏙѴꓦ", "W": "ԜᎳꓪ", "X": "ΧХⲬꓫ", "Y": "ΥУҮᎩᎽⲨꓬ", "Z": "ΖᏃꓜ", "a": "аɑ",
+    "b": "Ꮟ", "c": "сϲᴄⲥꮯ", "d": "ԁᏧ", "e": "е", "g": "ɡց", "h": "һհᏂ", "i": "і", "j": "јϳ", "l": "ӏ",
+    "n": "ո", "o": "οоօᴏⲟ", "p": "рⲣ", "q": "ԛ", "s": "ѕꜱꮪ", "u": "ս", "v": "νѵᴠꮩ", "w": "ԝᴡꮃ", "x": "х",
+    "y": "у", "z": "ᴢꮓ", "-": "‐‑", ":": "∶", "/": "⁄∕", "|": "∣ǀ",
 }
 # Ranges of characters that show nothing (default ignorable code points and controls).
 INVISIBLE = (

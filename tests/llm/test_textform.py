@@ -13,6 +13,11 @@ def test_same_look(a, b):
     assert common_forms([a]) == common_forms([b])
 
 
+@pytest.mark.parametrize(("a", "b"), [("\u0475\u0474", "vV"), ("\u04cf", "l"), ("\u057d\u0578", "un"), ("\u03bd", "v"), ("\u13a1\u13c0", "RG"), ("\u03dc", "F"), ("\u13cf", "b"), ("\u054d", "U"), ("\u1d22", "z"), ("\ua4e0\ua4f3", "NO")])
+def test_same_look_in_more_scripts(a, b):
+    assert common_forms([a]) == [b]
+
+
 @pytest.mark.parametrize(("a", "b"), [("a", "A"), ("é", "e"), ("x²", "x2"), ("①", "1"), ("₂", "2"), ("a b", "a  b"), ("a\nb", "a b"), ("å", "a"), ("0", "O")])
 def test_different_look(a, b):
     assert common_forms([a]) != common_forms([b])
