@@ -1,26 +1,51 @@
-"""Pairs inside groups, made in salted blocks so that a hot group is spread over many tasks."""
+"""Pairs inside groups and joins on keys that many rows share, spread so that a hot key is no single task."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradeloom.session import materialize
+
+#: Most rows of keys that are sent to all workers at once.
+BROADCAST_KEYS = 1_000_000
+#: Tasks that the rows of one key are dealt to where the keys are too many to be sent.
+SALTS = 32
+
+
+def join_hot(rows: DataFrame, keys: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join with ``keys``, a written table of short rows that has each key once; a key may have any number of ``rows``.
+
+    Up to ``BROADCAST_KEYS`` keys are sent to the workers, so the rows stay where they lie. Beyond that every key is
+    sent to ``SALTS`` places and the rows are dealt to these by a hash of theirs. ``how``: inner, left or left_semi.
+    """
+    on = list(on)
+    if keys.count() <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(keys), on, how)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
+    return salted.join(keys.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [*on, "_salt"], how).drop("_salt")
+
 
-def pairs_within(rows: DataFrame, group: str, key: str, kind: str, block: int = 2000) -> DataFrame:
+def pairs_within(rows: DataFrame, group: str, key: str, kind: str, block: int = 2000, carry: Sequence[str] = (), keep: str | None = None) -> DataFrame:
     """(group, id_a, id_b) with id_a < id_b: rows of one group whose ``kind`` differs; null groups have no pairs.
 
-    Groups with one ``kind`` are dropped by a partial aggregate before any row is shuffled with its partners. A
-    group of n rows is cut into ceil(n / block) parts: one side of the join lies in one part, the other is sent to
-    all of them, so no task holds more than ``block`` rows of the first side of a group.
+    Groups with one ``kind`` are dropped by a partial aggregate before any row meets its partners. A group of n rows
+    is cut into ceil(n / block) parts: one side of the join lies in one part, the other is sent to all of them, so no
+    task holds more than ``block`` rows of the first side of a group. ``keep`` is a condition on the columns in
+    ``carry``, which end in ``_a`` and ``_b`` there; pairs that fail it are dropped where they are made.
     """
-    rows = rows.select(F.col(group).alias("_g"), F.col(key).alias("_k"), F.col(kind).alias("_c")).where("_g is not null")
+    rows = rows.select(F.col(group).alias("_g"), F.col(key).alias("_k"), F.col(kind).alias("_c"), *carry).where("_g is not null")
     groups = (
         rows.groupBy("_g")
         .agg(F.count("*").alias("_n"), F.min("_c").alias("_lo"), F.max("_c").alias("_hi"))
         .where("_lo < _hi")
         .select("_g", F.ceil(F.col("_n") / block).cast("int").alias("_parts"))
     )
-    members = rows.join(groups, "_g").distinct()
-    left = members.select("_g", F.col("_k").alias("id_a"), F.col("_c").alias("_ca"), F.pmod(F.xxhash64("_k"), F.col("_parts")).cast("int").alias("_part"))
-    right = members.select("_g", F.col("_k").alias("id_b"), F.col("_c").alias("_cb"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
-    return left.join(right, ["_g", "_part"]).where("id_a < id_b and _ca <> _cb").select(F.col("_g").alias(group), "id_a", "id_b").distinct()
+    members = join_hot(rows, materialize(groups, "groups"), ["_g"]).distinct()
+    side = lambda s: [F.col("_k").alias(f"id_{s}"), F.col("_c").alias(f"_c{s}"), *[F.col(c).alias(f"{c}_{s}") for c in carry]]
+    left = members.select("_g", *side("a"), F.pmod(F.xxhash64("_k"), F.col("_parts")).cast("int").alias("_part"))
+    right = members.select("_g", *side("b"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    pairs = left.join(right, ["_g", "_part"]).where("id_a < id_b and _ca <> _cb")
+    return (pairs.where(keep) if keep else pairs).select(F.col("_g").alias(group), "id_a", "id_b").distinct()

@@ -57,7 +57,18 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/gradeloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     drop_at_end(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_written_to"] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote, once all that reads them has been written itself; others are left alone."""
+    for t in tables:
+        path = t.__dict__.pop("_written_to", None)
+        if path:
+            at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def drop_at_end(spark: SparkSession, path: str) -> None:
