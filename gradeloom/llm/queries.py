@@ -49,6 +49,11 @@ def p1_shares(spark: SparkSession, d: str) -> DataFrame:
     return plan.shares(plan.rows())
 
 
+def p1_margins(spark: SparkSession, d: str) -> DataFrame:
+    """What each source, topic and language was raked to, and how far it is from its goal."""
+    return _mix(spark, d).margins
+
+
 def _calibration(spark: SparkSession, d: str) -> calibration.Calibration:
     rows = table(spark, d, "schedule_manifest").where("arm = 'dm_large' and repeat_id = 0")
     return calibration.calibrate(rows, table(spark, d, "sample_target"), "schedule_idx", ["topic", "difficulty_bucket", "solution_token_decile", "prompt_token_decile"])
@@ -114,5 +119,5 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_mixed_rows, p1_shares, p2_found, p3_found, p3_sample, p3_report, p4_found, p4_groups, p5_sequences, p5_fill, p6_found, p6_leaks, p7_found, p7_normalized)
+    f.__name__: f for f in (p1_found, p1_mixed_rows, p1_shares, p1_margins, p2_found, p3_found, p3_sample, p3_report, p4_found, p4_groups, p5_sequences, p5_fill, p6_found, p6_leaks, p7_found, p7_normalized)
 }

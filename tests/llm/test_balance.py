@@ -62,6 +62,25 @@ def test_mix_is_raked_until_margins_are_close_or_says_so(frame, monkeypatch):
         assert mixing.mix(*skewed(frame)).furthest > mixing.CLOSE
 
 
+def test_raked_as_tables_like_on_the_driver(frame, monkeypatch):
+    rows = [("a", i, "xyz"[i % 3], "t%d" % (i // 3 % 2), 0, 50, "x", "y") for i in range(120)]
+    rows = frame(rows + [("b", 1, "big", None, 0, 10, "x", "y"), ("b", 2, "big", "t9", 0, 10, "x", "y")], ROWS)
+    targets = frame([("a", "x", 0.5, 4), ("a", "y", 0.1, 1), ("a", "z", 0.4, 1), ("a", "absent", 0.1, 3), ("b", "big", 1.0, 1)], MIX)
+    monkeypatch.setattr(mixing, "CLUSTER_SWEEPS", 2)
+    shares = lambda plan: {(r.arm, r.source): (r.reachable, round(r.raked_tokens / max(1, r.pool_tokens), 2)) for r in plan.report.collect()}
+    here = shares(mixing.mix(rows, targets))
+    monkeypatch.setattr(mixing, "LOCAL_CELLS", 0)
+    assert shares(mixing.mix(rows, targets)) == here and here == {("a", "x"): (True, 1.5), ("a", "y"): (True, 0.3), ("a", "z"): (False, 1.0), ("a", "absent"): (False, 0.0), ("b", "big"): (True, 1.0)}
+
+
+def test_arms_do_not_trade_rows(frame):
+    rows = frame([(arm, i, s, "t", 0, 40 + (i * 7 + len(s)) % 60, "x", "y") for arm in "ab" for s, n in (("one", 400), ("two", 300)) for i in range(1000 * len(s), 1000 * len(s) + n) for s in (s + arm,)], ROWS)
+    plan = mixing.mix(rows, frame([(arm, s + arm, share, 3) for arm in "ab" for s, share in (("one", 0.3), ("two", 0.7))], MIX))
+    for r in plan.shares(plan.rows()).collect():
+        assert abs(r.share_of_pool - r.target_share) < 0.008
+    assert {r.dimension for r in plan.margins.collect()} == {"source", "topic"}
+
+
 def test_mix_of_nothing(frame):
     targets = frame([("a", "big", 1.0, 1)], MIX)
     empty = mixing.mix(manifest(frame).limit(0), targets)
