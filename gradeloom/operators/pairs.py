@@ -15,14 +15,14 @@ BROADCAST_KEYS = 1_000_000
 SALTS = 32
 
 
-def join_hot(rows: DataFrame, keys: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+def join_hot(rows: DataFrame, keys: DataFrame, on: Sequence[str], how: str = "inner", most: int = BROADCAST_KEYS) -> DataFrame:
     """Join with ``keys``, a written table of short rows that has each key once; a key may have any number of ``rows``.
 
-    Up to ``BROADCAST_KEYS`` keys are sent to the workers, so the rows stay where they lie. Beyond that every key is
+    Up to ``most`` keys are sent to the workers, so the rows stay where they lie. Beyond that every key is
     sent to ``SALTS`` places and the rows are dealt to these by a hash of theirs. ``how``: inner, left or left_semi.
     """
     on = list(on)
-    if keys.count() <= BROADCAST_KEYS:
+    if keys.count() <= most:
         return rows.join(F.broadcast(keys), on, how)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
     return salted.join(keys.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [*on, "_salt"], how).drop("_salt")
