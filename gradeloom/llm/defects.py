@@ -1,7 +1,7 @@
 """Question and answer pairs whose answer makes them unfit for training, each with its kind of defect.
 
 Copies are found by compression: the answer is compressed with its question as a raw zstandard dictionary, and what
-a copy adds of its own is then a few bytes. Refusals and languages come from dictionaries. Whether an answer breaks
+a copy takes beyond the question itself is then a small share of it. Refusals and languages come from dictionaries. Whether an answer breaks
 off is decided by a model of terminal contexts: a logistic regression over the shape of the last characters and the
 state of the formula they stand in, fitted on a bounded sample of the answers themselves, where real ends are one
 class and cuts at hashed places within sentences the other. Flagging is one pass without a shuffle of texts.
@@ -28,8 +28,10 @@ from gradeloom.llm.textform import MARKUP
 
 #: Most rows the model of terminal contexts is fitted on (those with the smallest hashes of the key).
 SAMPLE_ROWS = 4000
-#: A copy adds at most so many compressed bytes, and so many for each byte of the shorter of answer and question.
-COPY_BYTES, COPY_SHARE = 34, 0.02
+#: Compressed bytes that a copy takes at most beyond those of the question itself, as a share of those it takes without dictionary.
+COPY_SHARE = 0.15
+#: Words of prose that an answer must have to be a copy, unless it is the whole question; fewer are a bare result.
+COPY_WORDS = 3
 
 # What is written where an answer was not given, without blanks and marks.
 PLACEHOLDERS = frozenset("null none nan nil na tbd tba todo empty pending placeholder notavailable notprovided noanswer missing".split())
@@ -54,6 +56,8 @@ RESULT_WORDS = (
     r"answer|result|value|total|equals|therefore|antwort|ergebnis|wert|insgesamt|réponse|résultat|valeur|trouve|respuesta|resultado|valor|"
     r"obtiene|ответ|значение|получаем|итог|答案|结果|得到|所求"
 )
+# Headings before a question that is repeated.
+LABELS = r"question|problem|task|exercise|frage|aufgabe|énoncé|exercice|problème|pregunta|problema|ejercicio|вопрос|задача|题目|问题|題目|問題"
 
 _INVISIBLE = re.compile(r"[\u00ad\u034f\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\x00-\x08\x0e-\x1f\x7f]")
 _HAN = re.compile(r"[\u3400-\u9fff]")
@@ -61,12 +65,15 @@ _TAG = re.compile(rf"{MARKUP}|</?[A-Za-z][^<>]{{0,58}}>")
 _MORE_THAN_A_PLACEHOLDER = re.compile(rf"(?:[^\W_][\W_]*+){{{max(map(len, PLACEHOLDERS)) + 1}}}")
 _WRAPPER = re.compile(r"\\(?:boxed|fbox|text|mathrm|textbf|left|right)\b")
 _REFUSAL = re.compile("|".join(f"(?:{p})" for p in REFUSALS.values()))
-_MATH_SIGN = re.compile(r"[$\\=]|\d")
-_BOX = re.compile(r"\\f?boxed\s*\{[^{}]*(?:\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}[^{}]*)*\}")
+_MATH_SIGN = re.compile(r"[$\\=]")
+_FORMULA = re.compile(r"\$\$.+?\$\$|\$[^$]+\$|\\\[.+?\\\]|\\\(.+?\\\)", re.S)
+_LABEL = re.compile(rf"^[\s*_#\"“]*(?:{LABELS})[\s*_]*[:：]", re.I)
+_BOX_OPENS, _BRACE = re.compile(r"\\(?:boxed|fbox)\s*\{"), re.compile(r"(?<!\\)[{}]")
 _CUE = re.compile(rf"(?:{RESULT_WORDS})", re.I)
 _CUE_NUMBER = re.compile(rf"(?:{RESULT_WORDS})[^.!?。！？\n$]{{0,24}}?[:：=]?[\s*_]*\$?-?\d[\d.,/]*\$?[\s*_]*[.。]?$", re.I)
 _SENTENCE_END = re.compile(r"[.!?。！？][\"'»”)\]*_]*\s|\n")
 _FORMATTING = re.compile(r"\\(?:[,!;:]|quad|qquad|left\b|right\b|[()\[\]])|[$*_`\"“”]+")
+_COMMAND, _PROSE = re.compile(r"\\[A-Za-z]+"), re.compile(r"[^\W\d_\u3400-\u9fff]{2,}")
 _ENDS = ".!?。！？…"
 
 
@@ -83,31 +90,55 @@ def says_nothing(answer: str | None) -> bool:
     return not text or text in PLACEHOLDERS
 
 
-def declines(answer: str) -> bool:
-    """A refusal phrase in a text that has no formula, number or result of its own."""
+def declines(question: str | None, answer: str) -> bool:
+    """A refusal phrase in a text that has no result and no formula but those of the question."""
     text = answer.lower().replace("\u2019", "'")
-    found = _REFUSAL.search(text)
-    return bool(found) and not _MATH_SIGN.search(text)
+    if not _REFUSAL.search(text):
+        return False
+    asked = (question or "").lower()
+    own = _FORMULA.sub(lambda m: " " if m.group() in asked else m.group(), text)
+    return not _MATH_SIGN.search(own) and not _CUE_NUMBER.search(own.rstrip())
+
+
+def prose_words(text: str) -> int:
+    """Words outside TeX commands; two Chinese characters count as one."""
+    return len(_PROSE.findall(_COMMAND.sub(" ", text))) + len(_HAN.findall(text)) // 2
 
 
 def _squeezed(text: str) -> bytes:
-    """A text without blanks, letter case and formatting."""
+    """A text without blanks, letter case, formatting and a heading."""
+    text = _LABEL.sub("", text, count=1)
     plain = text.lower() if text.isascii() else unicodedata.normalize("NFKC", text).lower()
     return "".join(_FORMATTING.sub(" ", plain).split()).encode("utf-8", "surrogatepass")
 
 
-def own_bytes(question: str, answer: str) -> int:
-    """Compressed bytes of the answer with the question as its dictionary."""
-    d = zstandard.ZstdCompressionDict(_squeezed(question), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+def _with_dictionary(text: bytes, words: bytes) -> int:
+    """Compressed bytes of a text with another as its dictionary."""
+    d = zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if words else None
     params = zstandard.ZstdCompressionParameters.from_level(3, write_content_size=0, write_checksum=0, write_dict_id=0)
-    return len(zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress(_squeezed(answer)))
+    return len(zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress(text))
 
 
 def copies_question(question: str, answer: str) -> bool:
-    size = len(answer.encode("utf-8", "surrogatepass"))
-    if size < 30 or 2 * len(answer) < len(question):
+    """The whole question or a part of it, perhaps with small changes, and no result after it.
+
+    What the answer takes compressed, with the question as dictionary, beyond what the question itself takes is held
+    against what it takes without, so short, long and repetitive texts are judged alike.
+    """
+    asked, said = _squeezed(question), _squeezed(answer)
+    if not asked or not said:
+        return False
+    if said == asked:
+        return True
+    if said not in asked:
+        own = _with_dictionary(said, asked)
+        if own > COPY_SHARE * len(said) + 48:  # with room for what a question itself takes, 16 to 25
+            return False
+        if own - _with_dictionary(asked, asked) > COPY_SHARE * _with_dictionary(said, b""):
+            return False
+    if prose_words(answer) < COPY_WORDS:
         return False
-    return own_bytes(question, answer) <= COPY_BYTES + COPY_SHARE * min(size, len(question.encode("utf-8", "surrogatepass")))
+    return not (asked in said and any(48 <= c < 58 for c in said.replace(asked, b"")))  # restated and given a result
 
 
 _CLASSES = 12
@@ -128,6 +159,31 @@ def _char_class(c: str) -> int:
 FEATURES = 10 + 64 + _CLASSES**2
 
 
+def last_sentence(text: str) -> str:
+    """What follows the last end of a sentence that is not the end of the text."""
+    for begin in (len(text) - 300, 0):  # most sentences are short; the whole text where this one isn't
+        ends = [m.end() for m in _SENTENCE_END.finditer(text, max(0, begin))]
+        ends = [e for e in ends if e < len(text)]
+        if ends:
+            return text[ends[-1] :]
+    return text
+
+
+def has_box(text: str) -> bool:
+    """A box that is closed, however long it is."""
+    return "box" in text and any(depth_end(text, m.end()) for m in _BOX_OPENS.finditer(text))
+
+
+def depth_end(text: str, at: int) -> int:
+    """Where the brace that opens before ``at`` closes, 0 if it doesn't."""
+    depth = 1
+    for m in _BRACE.finditer(text, at):
+        depth += 1 if m.group() == "{" else -1
+        if not depth:
+            return m.end()
+    return 0
+
+
 def terminal_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(indices, values) of the features of the end of a text."""
     tail = text[-1:]
@@ -135,12 +191,11 @@ def terminal_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     n = cut.count("$") - cut.count("\\$")
     open_math = n % 2 == 1 or cut.rfind("\\[") > cut.rfind("\\]") or cut.rfind("\\(") > cut.rfind("\\)")
     stars = cut.count("**") % 2 == 1
-    last = max([m.end() for m in _SENTENCE_END.finditer(cut, max(0, len(cut) - 400))] or [max(0, len(cut) - 400)])
-    final = cut[last:] or cut[-40:]
+    final = last_sentence(cut)
     braces = final.count("{") != final.count("}")
-    box = bool(_BOX.search(cut[-160:]))
+    box = has_box(final)
     ended = cut[-1:] in _ENDS and not open_math
-    flags = (1.0, open_math, stars, braces, box, ended, bool(_CUE_NUMBER.search(cut[-80:])), bool(_CUE.search(final)), cut.endswith(("\\]", "\\)", "$$")), len(final) < 30)
+    flags = (1.0, open_math, stars, braces, box, ended, bool(_CUE_NUMBER.search(final)), bool(_CUE.search(final)), cut.endswith(("\\]", "\\)", "$$")), len(final) < 30)
     at = [i for i, f in enumerate(flags) if f]
     at.append(10 + zlib.crc32(tail.encode("utf-8", "surrogatepass")) % 64)
     a, b = (_char_class(c) for c in (cut[-2:] if len(cut) > 1 else "  "))
@@ -153,7 +208,7 @@ def _cut(text: str, seed: int) -> str | None:
     low, high = max(12, len(text) // 12), max(13, int(len(text) * 0.92))
     place = low + zlib.crc32(f"{seed}".encode()) % (high - low)
     part = text[:place].rstrip()
-    if not part or part[-1] in _ENDS or _BOX.search(part) or _SENTENCE_END.match(text, place - 1):
+    if not part or part[-1] in _ENDS or has_box(part) or _SENTENCE_END.match(text, place - 1):
         return None
     return part
 
@@ -196,7 +251,7 @@ class TerminalModel:
 def truncated(answer: str, model: TerminalModel) -> bool:
     """No result is reached and the end looks like a break within a sentence, word or formula."""
     text = visible(answer)
-    if _BOX.search(text[-200:]):
+    if has_box(text):
         return False
     if text.replace("\\$", "").count("$") % 2:
         return True  # within a formula
@@ -210,7 +265,7 @@ def defect(question: str | None, answer: str | None, model: TerminalModel) -> st
     """The one defect of a pair: the first of empty, refusal, copied_question, other_language and truncated."""
     if says_nothing(answer):
         return "empty"
-    if declines(answer):
+    if declines(question, answer):
         return "refusal"
     if question and copies_question(question, answer):
         return "copied_question"

@@ -14,6 +14,33 @@ def model():
     return D.TerminalModel.fit([" ".join(steps[(i + j) % 4] for j in range(3)) + " " + ends[i % 5] for i in range(600)])
 
 
+@pytest.mark.parametrize("text", ["What is $2+2$?", "Find x: 3x=9.", "Wie viele?", "求 $x$ 的值。"])
+def test_short_copy(text, model):
+    assert D.defect(text, text, model) == D.defect(text, "Question: " + text, model) == "copied_question"
+    assert D.defect(text, "4", model) is None and D.defect(text, text + " It is 4.", model) is None
+
+
+def test_copy_of_a_part_and_of_several(model):
+    last = "What is the exact value of the rank of the attached complex?"
+    assert D.defect(QUESTION, last, model) == D.defect(QUESTION, QUESTION + "\n" + QUESTION, model) == "copied_question"
+    assert D.defect(QUESTION, "the rank", model) != "copied_question" and D.defect(QUESTION, "$x^{2}+3$", model) is None
+
+
+def test_long_box_is_a_result(model):
+    assert D.defect(QUESTION, SOLVED[:-14] + "is $\\boxed{" + "+".join(f"x_{{{i}}}" for i in range(80)) + "}$", model) is None
+    assert D.defect(QUESTION, "We get $\\boxed{\\{1, 2\\}}$ and note that the " + "very " * 60 + "la", model) is None
+
+
+@pytest.mark.parametrize("answer", ["I'm sorry, but I can't help with question 12.", "I cannot answer what $x^{2}+3$ is."])
+def test_refusal_that_quotes_the_question(answer, model):
+    assert D.defect(QUESTION, answer, model) == "refusal"
+
+
+@pytest.mark.parametrize("answer", ["Quindi il valore della somma è uguale al risultato che si trova nella seconda riga, e non dei gradi.", "Portanto o valor não é igual ao resultado que encontramos, e assim temos uma resposta para cada linha.", "したがって答えは三です。", "따라서 답은 삼입니다."])
+def test_further_languages(answer, model):
+    assert D.defect(QUESTION, answer, model) == "other_language"
+
+
 @pytest.mark.parametrize("answer", [None, "", "  \n", "​", "﻿ ", "null", "N/A", "(none)", "...", "$$", "\\boxed{}", "-", "TBD", "<answer></answer>"])
 def test_empty(answer, model):
     assert D.defect(QUESTION, answer, model) == "empty"
