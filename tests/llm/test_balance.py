@@ -74,7 +74,7 @@ def test_raked_as_tables_like_on_the_driver(frame, monkeypatch):
 
 
 def test_arms_do_not_trade_rows(frame):
-    rows = frame([(arm, i, s, "t", 0, 40 + (i * 7 + len(s)) % 60, "x", "y") for arm in "ab" for s, n in (("one", 400), ("two", 300)) for i in range(1000 * len(s), 1000 * len(s) + n) for s in (s + arm,)], ROWS)
+    rows = frame([(arm, i, s, "t", 0, 40 + (i * 7 + len(s)) % 60, "x", "y") for arm in "ab" for s, low, n in (("one", 0, 400), ("two", 400, 300)) for i in range(low, low + n) for s in (s + arm,)], ROWS)
     plan = mixing.mix(rows, frame([(arm, s + arm, share, 3) for arm in "ab" for s, share in (("one", 0.3), ("two", 0.7))], MIX))
     for r in plan.shares(plan.rows()).collect():
         assert abs(r.share_of_pool - r.target_share) < 0.008
@@ -121,6 +121,26 @@ def test_unmet_targets_like_the_rule(frame):
         assert r.unmet == (r.eligible < r.min_rows or r.eligible < r.target_share * n)
 
 
+def test_conflicts_are_told(frame):
+    goals = [("topic", "a", 0.2, 1), ("topic", "b", 0.8, 1), ("decile", "0", 0.999, 2000), ("decile", "1", 0.001, 1)]
+    report = {(r.dimension, r.category): r for r in calibration.calibrate(population(frame), frame(goals, TARGETS), "id", ["topic", "decile"]).report.collect()}
+    assert report["decile", "0"].unmet and report["decile", "0"].expected_rows == report["decile", "0"].eligible
+    clash = report["topic", "a"]
+    assert clash.conflict and not clash.unmet and clash.conflicts_with == "decile=0" and clash.forced_rows > 0
+
+
+def test_ways_to_solve_agree(frame, monkeypatch):
+    goals = frame([("topic", "a", 0.3, 1), ("topic", "B", 0.5, 1), ("topic", "c", 0.2, 1), ("decile", "0", 0.4, 1), ("decile", "1", 0.2, 1), ("decile", "2", 0.2, 1), ("decile", "3", 0.2, 1)], TARGETS)
+    chances = lambda: calibration.calibrate(population(frame), goals, "id", ["topic", "decile"]).chances.groupBy("topic", "decile").agg(F.max("chance")).collect()
+    close = lambda got: max(abs(x - known[t, d]) for t, d, x in got) < 0.01
+    known = {(t, d): x for t, d, x in chances()}
+    monkeypatch.setattr(calibration, "DENSE", 0)
+    assert close(chances())
+    monkeypatch.setattr(calibration, "DENSE", 2000)
+    monkeypatch.setattr(calibration, "LOCAL_CELLS", 0)
+    assert close(chances())
+
+
 def test_sample_of_nothing(frame):
     goals = frame([("topic", "a", 1.0, 1)], TARGETS)
     plan = calibration.calibrate(population(frame).limit(0), goals, "id", ["topic", "decile"])
