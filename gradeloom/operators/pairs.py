@@ -11,21 +11,26 @@ from gradeloom.session import materialize
 
 #: Most rows of keys that are sent to all workers at once.
 BROADCAST_KEYS = 1_000_000
-#: Tasks that the rows of one key are dealt to where the keys are too many to be sent.
-SALTS = 32
+#: A key with more rows than this is hot where the keys are too many to be sent.
+HOT_ROWS = 200_000
 
 
 def join_hot(rows: DataFrame, keys: DataFrame, on: Sequence[str], how: str = "inner", most: int = BROADCAST_KEYS) -> DataFrame:
     """Join with ``keys``, a written table of short rows that has each key once; a key may have any number of ``rows``.
 
-    Up to ``most`` keys are sent to the workers, so the rows stay where they lie. Beyond that every key is
-    sent to ``SALTS`` places and the rows are dealt to these by a hash of theirs. ``how``: inner, left or left_semi.
+    Up to ``most`` keys are sent to the workers, so the rows stay where they lie. Beyond that only the hot keys are
+    sent, of which there are at most as many as ``HOT_ROWS`` goes into the number of rows; all others are joined by a
+    shuffle. ``how``: inner, left or left_semi; null keys match nothing.
     """
     on = list(on)
     if keys.count() <= most:
         return rows.join(F.broadcast(keys), on, how)
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
-    return salted.join(keys.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [*on, "_salt"], how).drop("_salt")
+    hot = materialize(rows.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_ROWS).select(*on), "hot")
+    if hot.isEmpty():
+        return rows.join(keys, on, how)
+    hot = F.broadcast(hot)
+    sent = F.broadcast(keys.join(hot, on, "left_semi"))
+    return rows.join(hot, on, "left_semi").join(sent, on, how).unionByName(rows.join(hot, on, "left_anti").join(keys, on, how))
 
 
 def pairs_within(rows: DataFrame, group: str, key: str, kind: str, block: int = 2000, carry: Sequence[str] = (), keep: str | None = None) -> DataFrame:
