@@ -79,6 +79,27 @@ def test_filters_lose_no_pair():
         assert abs(d[0, 0] - d[1, 0]) <= apart <= len({a[i : i + 5] for i in range(len(a) - 4)} ^ {b[i : i + 5] for i in range(len(b) - 4)})
 
 
+def test_few_rows_and_a_key_with_several_texts(frame):
+    rng = random.Random(4)
+    a, b = sentence(rng, 30), sentence(rng, 30)
+    rows = [(1, a), (1, b), (2, a.replace(a.split()[3], "edit")), (3, b.replace(b.split()[5], "edit")), (4, sentence(rng, 30))]
+    df = frame(rows, "train_idx long, question string")
+    assert {tuple(r) for r in N.near_duplicate_pairs(df).collect()} == {(1, 2), (1, 3)}
+    groups = {(r.train_idx, r.text_id): r.group for r in N.near_duplicates(df).collect()}
+    assert len(groups) == 5 and len(set(groups.values())) == 3
+
+
+def test_filters_are_counted(spark, frame):
+    texts = [sentence(random.Random(i), 30) for i in range(6)] + ["x" * 500]
+    h, o = N.pieces(texts)
+    p = N.fingerprints(h, o, 7)
+    d = np.ascontiguousarray(N.pivot_distances(p, N.pivot_prints(texts[:3])))
+    rows = [(i, *map(int, (N.distinct_pieces(h, o, 7)[i], *p.view(np.int64)[i], *d.view(np.int64)[i]))) for i in range(7)]
+    signed = frame(rows, "node long, n int, " + ", ".join(f"{c} long" for c in N.PRINTS + N.DISTANCES))
+    out = {(r.a, r.b): (r.by_pivots, r.by_distance) for r in N.filtered(frame([(0, 1), (0, 6), (2, 2)], "a long, b long"), signed).collect()}
+    assert out[2, 2] == (True, True) and out[0, 6] == (False, None) and not out[0, 1][1]
+
+
 def test_bands_of_very_short_and_long_texts():
     h, o = N.pieces(["abc", "abcdefgh", "x" * 100_000, "ab" * 50_000])
     assert N.bands(h, o, 4).shape == (4, N.BANDS)
