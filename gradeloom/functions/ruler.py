@@ -117,20 +117,38 @@ class SubsetRuler:
         return bool(answer) and value(answer) is not None
 
 
+# Fixed values: (gold, answer, whether they are equal) that any ruler must judge so; an answer without box counts by its cue.
+GOLDEN = (
+    ("\\boxed{\\frac{1}{2}}", "so \\boxed{\\frac{1}{2}}", True), ("\\boxed{0.5}", "\\boxed{\\frac{1}{2}}", True), ("\\boxed{2}", "\\boxed{3}", False), ("\\boxed{(0,1)}", "\\boxed{(0,1)}", True),
+    ("\\boxed{12}", "there is no boxed answer here", False), ("\\boxed{1/2}", "Final answer: $\\frac{1}{2}$", True), ("\\boxed{2}", "Intermediate: $2$.\nFinal answer: $3$", False),
+)
+
+
+def check_ruler(ruler: Ruler) -> None:
+    """Fail unless a ruler judges the golden cases as it must and reads a strict answer from boxes alone."""
+    wrong = [(g, t) for g, t, same in GOLDEN if ruler.is_correct(ruler.parse_strict(g), ruler.parse_fallback(t)) != same]
+    if ruler.parse_strict("Final answer: $3$") is not None or ruler.parse_fallback("No final answer was given.") is not None:
+        wrong.append(("", "answers without box"))
+    if wrong:
+        raise ValueError(f"ruler {ruler.version} fails {wrong}")
+
+
 def grade(gold: Column, text: Column, ruler: Ruler | None = None) -> Column:
-    """struct(strict_correct, fallback_correct, parse_fail, fallback_source) of a text against a boxed gold answer.
+    """struct(strict_correct, fallback_correct, parse_fail, fallback_source, ruler_version) of a text against a boxed gold answer.
 
-    A strict answer is a fallback answer, so strict_correct never exceeds fallback_correct.
+    A strict answer is a fallback answer, so strict_correct never exceeds fallback_correct. A ruler that fails the
+    golden cases grades nothing.
     """
     r = ruler or SubsetRuler()
+    check_ruler(r)
 
-    @F.pandas_udf("strict_correct int, fallback_correct int, parse_fail int, fallback_source string")
+    @F.pandas_udf("strict_correct int, fallback_correct int, parse_fail int, fallback_source string, ruler_version string")
     def call(golds: pd.Series, texts: pd.Series) -> pd.DataFrame:
         rows = []
         for g, t in zip(golds, texts):
             g, t = (None if v is None or v != v else v for v in (g, t))
             want, strict, loose = r.parse_strict(g), r.parse_strict(t), r.parse_fallback(t)
-            rows.append((int(r.is_correct(want, strict)), int(r.is_correct(want, loose)), int(loose is None), answer_source(t)))
-        return pd.DataFrame(rows, columns=["strict_correct", "fallback_correct", "parse_fail", "fallback_source"])
+            rows.append((int(r.is_correct(want, strict)), int(r.is_correct(want, loose)), int(loose is None), answer_source(t), r.version))
+        return pd.DataFrame(rows, columns=["strict_correct", "fallback_correct", "parse_fail", "fallback_source", "ruler_version"])
 
     return call(gold, text)

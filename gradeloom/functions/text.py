@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import re
+import hashlib
 from collections import Counter
+from collections.abc import Iterable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -93,18 +94,24 @@ def question_reject_reason(question: Column) -> Column:
     )
 
 
+def _comes_again(items: Iterable, times: int) -> bool:
+    """Whether an item comes so many times; stops where one does."""
+    seen: Counter = Counter()
+    for x in items:
+        seen[x] += 1
+        if seen[x] == times:
+            return True
+    return False
+
+
 def loops(text: str | None) -> bool:
     """A line of 24 characters or a run of 20 words that comes three times (runs only in texts of 60 words)."""
-    if not text:
-        return False
-    lines = Counter(" ".join(x.split()).casefold() for x in text.splitlines())
-    if any(n >= LOOP_COUNT and len(x) >= LINE_CHARS for x, n in lines.items()):
+    folded = (text or "").casefold()
+    long_lines = (line for raw in folded.splitlines() if len(line := " ".join(raw.split())) >= LINE_CHARS)
+    if _comes_again(long_lines, LOOP_COUNT):
         return True
-    words = re.findall(r"\S+", text.casefold())
-    if len(words) < LOOP_WORDS:
-        return False
-    runs = Counter(tuple(words[i : i + WINDOW_WORDS]) for i in range(len(words) - WINDOW_WORDS + 1))
-    return max(runs.values()) >= LOOP_COUNT
+    words = folded.split()
+    return len(words) >= LOOP_WORDS and _comes_again(zip(*(words[k:] for k in range(WINDOW_WORDS))), LOOP_COUNT)
 
 
 def has_repetition_loop(text: Column) -> Column:
@@ -143,6 +150,25 @@ def capped_slug(name: Column, cap: int = 64) -> Column:
     return F.when(F.length(s) <= cap, s).otherwise(F.concat(F.substring(s, 1, cap - 13), F.lit("-"), F.substring(F.sha2(s, 256), 1, 12)))
 
 
+def data_tag(name: str, prefix: str = "", cap: int = 20) -> str:
+    """A short tag of a data set: letters, digits and ``._-``; one longer than the cap keeps its beginning and a digest."""
+    tag = "".join(c if c.isalnum() or c in "._-" else "-" for c in name.removeprefix(prefix)).strip("-.") or "run"
+    return tag if len(tag) <= cap else f"{tag[: cap - 9]}-{hashlib.sha256(tag.encode()).hexdigest()[:8]}"
+
+
+def run_slug(parts: Sequence[tuple[str, str | int | float]], cap: int = 64) -> str:
+    """Labelled settings of a run in one name; numbers are printed short, a name over the cap is an error."""
+    name = "-".join(label + (f"{value:g}" if isinstance(value, float) else str(value)) for label, value in parts)
+    if len(name) > cap:
+        raise ValueError(f"{name!r} has more than {cap} characters")
+    return name
+
+
+def hit_limit(ids: Column, stops: list[int], n: int) -> Column:
+    """1 if a generation has n ids or more and none of them is a stop id, else 0."""
+    return F.when((F.size(ids) >= n) & ~F.exists(ids, lambda x: x.isin(stops)), 1).otherwise(0)
+
+
 def first_line(text: Column) -> Column:
     """First line that isn't blank, trimmed; null if there is none."""
     return F.get(F.filter(F.transform(F.split(text, r"\R"), lambda x: F.trim(x)), lambda x: x != ""), F.lit(0))

@@ -8,6 +8,9 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradeloom.operators.pairs import join_hot
+from gradeloom.session import materialize
+
 
 class Violation(ValueError):
     """An audit that found something."""
@@ -127,3 +130,107 @@ def closure_join(items: DataFrame, results: DataFrame, key: str, what: str = "it
     return items.join(results, key)
 
 
+def require_rows(rows: DataFrame, exactly: int | None = None, at_least: int | None = None, what: str = "table") -> int:
+    """The number of rows; fails if it isn't the one expected or is too small."""
+    n = rows.count()
+    if (exactly is not None and n != exactly) or (at_least is not None and n < at_least):
+        raise Violation(f"{what} has {n} rows, expected {exactly if exactly is not None else f'{at_least} or more'}")
+    return n
+
+
+def first_rows(rows: DataFrame, order: Sequence[str], n: int) -> DataFrame:
+    """The first n rows of a stated order, which should end in a unique column."""
+    return rows.orderBy(*order).limit(n)
+
+
+def flag_members(rows: DataFrame, members: DataFrame, key: str, to: str) -> DataFrame:
+    """Add whether the key of a row is among the keys of another table; a null key is no member."""
+    keys = materialize(members.select(key).where(F.col(key).isNotNull()).distinct().withColumn(to, F.lit(True)), "members")
+    return join_hot(rows.drop(to), keys, [key], "left").withColumn(to, F.coalesce(to, F.lit(False)))
+
+
+def overlap(a: DataFrame, b: DataFrame, column_a: str, column_b: str) -> DataFrame:
+    """One row (distinct_a, distinct_b, shared): how many distinct values both columns have, without nulls."""
+    side = lambda df, c, flag: df.select(F.col(c).alias("v"), F.lit(flag).alias("side")).where("v is not null")
+    values = side(a, column_a, 1).unionByName(side(b, column_b, 2)).groupBy("v").agg(F.bit_or("side").alias("sides"))
+    return values.agg(F.count_if(F.col("sides") != 2).alias("distinct_a"), F.count_if(F.col("sides") != 1).alias("distinct_b"), F.count_if(F.col("sides") == 3).alias("shared"))
+
+
+def single_across(tables: dict[str, DataFrame], column: str) -> DataFrame:
+    """(table, values, same): distinct values of a column in each of several tables, and whether all hold one and the same."""
+    both = None
+    for name, t in tables.items():
+        part = t.select(F.lit(name).alias("table"), F.col(column).cast("string").alias("v"))
+        both = part if both is None else both.unionByName(part)
+    counts = both.groupBy("table").agg(F.countDistinct(F.coalesce("v", F.lit("None"))).alias("values"), F.count_if(F.col("v").isNull()).alias("nulls"))
+    total = both.agg((F.countDistinct(F.coalesce("v", F.lit("None"))) == 1).alias("_one"), F.count_if(F.col("v").isNull()).alias("_nulls"))
+    return counts.crossJoin(F.broadcast(total)).select("table", "values", (F.col("_one") & (F.col("_nulls") == 0)).alias("same"))
+
+
+def conditional_counts(rows: DataFrame, by: Sequence[str], column: str, values: Sequence[str]) -> DataFrame:
+    """(by, n, one count for each value of ``column``), in one pass."""
+    counts = [F.count_if(F.col(column) == v).alias(str(v)) for v in values]
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), *counts)
+
+
+def provenance(rows: DataFrame, pinned: dict[str, Any], single: Sequence[str] = (), filled: Sequence[str] = ()) -> DataFrame:
+    """(column, problem, rows): what breaks the provenance of evaluation records; an empty result passes.
+
+    ``missing``: a column the table lacks; ``drifted``: rows whose value isn't the pinned one; ``not single``: columns
+    with several values; ``null``: rows without a value. One pass over the rows.
+    """
+    wanted = [*pinned, *[c for c in [*single, *filled] if c not in pinned]]
+    missing = [c for c in wanted if c not in rows.columns]
+    empty = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")).isin("", "None")
+    checks = [(c, "drifted", F.count_if(~F.col(c).eqNullSafe(F.lit(v)))) for c, v in pinned.items() if c not in missing]
+    checks += [(c, "not single", F.when(F.countDistinct(c) > 1, F.count("*")).otherwise(0)) for c in single if c not in missing]
+    checks += [(c, "null", F.count_if(empty(c))) for c in {*single, *filled} if c not in missing]
+    checks += [(c, "missing", F.count("*")) for c in missing]
+    one = rows.agg(*[agg.cast("long").alias(f"c_{i}") for i, (_, _, agg) in enumerate(checks)])
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(p).alias("problem"), F.col(f"c_{i}").alias("rows")) for i, (c, p, _) in enumerate(checks)])
+    return one.select(F.explode(cells).alias("r")).select("r.*").where("rows > 0")
+
+
+def group_modes(rows: DataFrame, group: Sequence[str], sample: str, constants: Sequence[str]) -> DataFrame:
+    """``group_completeness`` that also asks each group for one non-null value of every column in ``constants``."""
+    each = [F.countDistinct(c).alias(f"_d{i}") for i, c in enumerate(constants)] + [F.count(c).alias(f"_n{i}") for i, c in enumerate(constants)]
+    out = rows.groupBy(*group).agg(F.count("*").alias("rows"), F.countDistinct(sample).alias("samples"), F.min(sample).alias("first"), F.max(sample).alias("last"), *each)
+    uniform = F.lit(True)
+    for i, _ in enumerate(constants):
+        uniform = uniform & (F.col(f"_d{i}") == 1) & (F.col(f"_n{i}") == F.col("rows"))
+    complete = (F.col("rows") == F.col("samples")) & (F.col("first") == 0) & (F.col("last") == F.col("rows") - 1)
+    return out.withColumn("uniform", uniform).withColumn("complete", complete & F.col("uniform")).drop(*[f"_d{i}" for i in range(len(constants))], *[f"_n{i}" for i in range(len(constants))])
+
+
+def profile_join(items: DataFrame, single: DataFrame, sampled: DataFrame, key: str, sample: str, k: int) -> DataFrame:
+    """Items with their one ``single`` result and their k ``sampled`` results, after the keys are proved closed.
+
+    Both tables of results must have the same keys, each known to ``items``; ``single`` one row and ``sampled`` the
+    samples 0 .. k-1 for each. Columns other than the key that several tables have must be named apart before.
+    """
+    require_empty(duplicate_keys(items, [key]), "repeated items")
+    require_empty(duplicate_keys(single, [key]), "repeated single results")
+    complete = group_completeness(sampled, [key], sample)
+    require_empty(complete.where(~F.col("complete") | (F.col("rows") != k)), f"keys without the samples 0 to {k - 1}")
+    require_empty(key_difference(single, sampled, key), "keys of the results differ")
+    require_empty(key_difference(single, items, key).where("side = 'missing'"), "results of unknown items")
+    return items.join(single, key).join(sampled, key)
+
+
+def profile_closure(items: DataFrame, single: DataFrame, sampled: DataFrame, key: str, sample: str, k: int) -> DataFrame:
+    """(status, n): how the keys of a profile close, over the keys of all three tables."""
+    one = lambda df, c: df.groupBy(key).agg(F.count("*").alias(c))
+    complete = group_completeness(sampled, [key], sample).select(key, F.col("rows").alias("_s"), (F.col("complete") & (F.col("rows") == k)).alias("_c"))
+    both = one(items, "_i").join(one(single, "_g"), key, "full_outer").join(complete, key, "full_outer")
+    status = (
+        F.when(F.col("_i").isNull(), "unknown item").when(F.col("_i") > 1, "repeated item").when(F.col("_g").isNull() & F.col("_s").isNull(), "no result").when(F.col("_g").isNull(), "no single result")
+        .when(F.col("_g") > 1, "repeated single result").when(F.col("_s").isNull(), "no samples").when(~F.col("_c"), "incomplete samples").otherwise("closed")
+    )
+    return both.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+
+
+def closed_set(probes: DataFrame, held_out: DataFrame, expected: int, key: str) -> DataFrame:
+    """One row (held_out_rows, expected, shared, valid): a held-out set has its registered size and no key of ``probes``."""
+    one = overlap(probes, held_out, key, key).select("shared")
+    n = held_out.agg(F.count("*").alias("held_out_rows"))
+    return n.crossJoin(F.broadcast(one)).select("held_out_rows", F.lit(expected).cast("long").alias("expected"), "shared", ((F.col("held_out_rows") == expected) & (F.col("shared") == 0)).alias("valid"))

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Sequence
+from array import array
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.functions.text import first_truthy
+from gradeloom.operators.pairs import join_hot
 from gradeloom.session import materialize
 
-#: Most rows whose seeded permutation is computed on the driver.
-SHUFFLE_ROWS = 5_000_000
+#: Most rows of a group that a window orders in one task.
+WINDOW_ROWS = 2_000_000
 
 
 def stable_key(salt: str | Column, *ids: Column) -> Column:
@@ -34,6 +38,24 @@ def global_rank(rows: DataFrame, order: Sequence[str | Column], to: str = "rank"
     return sorted_rows.join(F.broadcast(offsets), "_p").withColumn(to, F.col("_off") + F.col("_i") + start).drop("_at", "_p", "_i", "_off")
 
 
+def rank_within(rows: DataFrame, group: str, order: Sequence[str], largest: int, to: str = "rank") -> DataFrame:
+    """Add the position of each row, from 1, within its group, of which none has more than ``largest`` rows.
+
+    Small groups are windows. Where a group may be too large for a task all rows are range-partitioned by group and
+    order, so a group is spread over tasks, and the place at which each group begins is taken off.
+    """
+    if largest <= WINDOW_ROWS:
+        return rows.withColumn(to, F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    ranked = global_rank(rows, [group, *order], "_place")
+    begins = materialize(ranked.groupBy(group).agg(F.min("_place").alias("_begin")), "begins")
+    return join_hot(ranked, begins, [group]).withColumn(to, F.col("_place") - F.col("_begin") + 1).drop("_place", "_begin")
+
+
+def digest_share(digest: str) -> Column:
+    """Where a hexadecimal digest lies among all digests, from 0 to 1."""
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(16**13)
+
+
 def stable_order(rows: DataFrame, salt: str, ids: Sequence[str], tie: Sequence[str] = (), to: str = "position") -> DataFrame:
     """Add each row's position in the order of its salted digest; equal ids are ordered by ``tie``."""
     keyed = rows.withColumn("_k", stable_key(salt, *[F.col(c) for c in ids]))
@@ -42,16 +64,14 @@ def stable_order(rows: DataFrame, salt: str, ids: Sequence[str], tie: Sequence[s
 
 def token_deciles(rows: DataFrame, field: str, key: str, to: str) -> DataFrame:
     """Add min(9, floor(10 rank / n)) of the rank by (field, key) from 0; not the same as ntile(10)."""
-    n = rows.count()
     ranked = global_rank(rows, [F.col(field).cast("long"), F.col(key).cast("string")], "_rank")
+    n = ranked.count()
     return ranked.withColumn(to, F.least(F.lit(9), F.floor(10 * F.col("_rank") / max(1, n))).cast("int")).drop("_rank")
 
 
-def seeded_permutation(n: int, seed: int) -> list[int]:
-    """Where a seeded Mersenne Twister shuffle of n items takes each position from."""
-    if n > SHUFFLE_ROWS:
-        raise ValueError(f"a seeded shuffle of {n} rows would be computed on the driver; use stable_order")
-    places = list(range(n))
+def seeded_permutation(n: int, seed: int) -> array:
+    """Where a seeded Mersenne Twister shuffle of n items takes each position from, 8 bytes each."""
+    places = array("q", range(n))
     random.Random(seed).shuffle(places)
     return places
 
@@ -59,11 +79,22 @@ def seeded_permutation(n: int, seed: int) -> list[int]:
 def seeded_shuffle(rows: DataFrame, position: str, seed: int, to: str = "schedule_idx") -> DataFrame:
     """Number the rows as a seeded shuffle of the list in the order of ``position`` (0 .. n-1) would.
 
-    The permutation depends on the number of rows and the seed alone, so tables of one length keep equal slots.
+    The permutation depends on the number of rows and the seed alone, so tables of one length keep equal slots. Its
+    steps depend on one another, so one task makes it, in 8 bytes a row, and hands it out in batches; the rows are
+    joined with it where they lie or by a shuffle. ``hash_shuffle`` is the order without such a task.
     """
-    places = seeded_permutation(rows.count(), seed)
-    table = rows.sparkSession.createDataFrame([(p, i) for i, p in enumerate(places)], f"{position} long, {to} long")
-    return rows.join(table, position)
+    n = rows.count()
+
+    def permutation(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                places = np.frombuffer(seeded_permutation(n, seed), np.int64)
+                for low in range(0, n, 1 << 20):
+                    part = places[low : low + (1 << 20)]
+                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.arange(low, low + len(part)))], names=[position, to])
+
+    table = rows.sparkSession.range(1, numPartitions=1).mapInArrow(permutation, f"{position} long, {to} long")
+    return rows.drop(to).join(materialize(table, "permutation"), position)
 
 
 def hash_shuffle(rows: DataFrame, seed: int, ids: Sequence[str], to: str = "schedule_idx") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
 from collections import defaultdict
 from collections.abc import Sequence
@@ -11,10 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.functions.canonical import canonical_json, canonical_tuple
-from gradeloom.operators.ordering import global_rank, stable_key, stable_order
+from gradeloom.operators.ordering import WINDOW_ROWS, digest_share, global_rank, rank_within, stable_key, stable_order
+from gradeloom.operators.pairs import join_hot
+from gradeloom.session import materialize
 
-#: Most rows of a selection whose quota repair is planned on the driver (ids and strata only).
-REPAIR_ROWS = 2_000_000
+#: Most rows of a selection whose quota repair is planned on the driver (ids and strata only); more are swapped as tables.
+REPAIR_ROWS = 200_000
 
 
 def stratum(fields: Sequence[str]) -> Column:
@@ -25,36 +28,58 @@ def hamilton_quota(rows: DataFrame, n: int, fields: Sequence[str]) -> DataFrame:
     """(fields, stratum, size, quota): n places apportioned to the strata by largest remainders.
 
     A quota is floor(n size / N); what is left goes to the largest fractions, ties to the larger canonical key.
-    The strata are one row each, so their ranking is small however many rows there are.
     """
-    sizes = rows.groupBy(*fields).agg(F.count("*").alias("size")).withColumn("stratum", stratum(fields))
-    total = rows.count()
+    sizes = materialize(rows.groupBy(*fields).agg(F.count("*").alias("size")).withColumn("stratum", stratum(fields)), "sizes")
+    strata, total = sizes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     if n > total:
         raise ValueError(f"cannot take {n} rows from {total}")
     exact = F.lit(float(n)) * F.col("size") / F.lit(float(max(1, total)))
     sizes = sizes.withColumn("_base", F.floor(exact)).withColumn("_rest", exact - F.floor(exact))
     given = sizes.agg(F.sum("_base")).first()[0] or 0
-    place = F.row_number().over(Window.orderBy(F.desc("_rest"), F.desc("stratum")))
-    return sizes.withColumn("quota", F.col("_base") + F.when(place <= n - given, 1).otherwise(0)).drop("_base", "_rest")
+    order = [F.desc("_rest"), F.desc("stratum")]
+    if strata <= WINDOW_ROWS:  # one short row each
+        placed = sizes.withColumn("_place", F.row_number().over(Window.orderBy(*order)))
+    else:
+        placed = global_rank(sizes, order, "_place", 1)
+    return placed.withColumn("quota", F.col("_base") + F.when(F.col("_place") <= n - given, 1).otherwise(0)).drop("_base", "_rest", "_place")
+
+
+def _firsts(rows: DataFrame, quota: DataFrame, key: str, salt: Column) -> DataFrame:
+    """The rows of each stratum ``_s`` that are first in its salted order, as many as ``_q`` says, with their ``_r`` from 1.
+
+    ``quota`` (_s, _size, _q) is written. Digests are evenly spread, so rows far beyond the quota's share are dropped
+    before any are ordered; should that leave a stratum short, all are looked at.
+    """
+    keyed = join_hot(rows, quota.where("_q > 0"), ["_s"]).withColumn("_k", stable_key(salt, F.col(key)))
+    largest, wanted = quota.agg(F.coalesce(F.max("_q"), F.lit(0)), F.coalesce(F.sum(F.least("_q", "_size")), F.lit(0))).first()
+    bound = (F.col("_q") + 8 * F.sqrt(F.col("_q").cast("double")) + 30) / F.col("_size")
+    for near in (keyed.where(digest_share("_k") <= bound), keyed):
+        found = materialize(rank_within(near, "_s", ["_k", key], largest, "_r").where("_r <= _q").drop("_k", "_q", "_size"), "firsts")
+        if found.count() == wanted:
+            return found
+    return found
 
 
 def proportional_take(rows: DataFrame, n: int, fields: Sequence[str], salt: str, key: str = "row_hash") -> DataFrame:
     """n rows, each stratum with its quota of the rows first in its salted order, and their final ``position``."""
-    quota = hamilton_quota(rows, n, fields).select(F.col("stratum").alias("_s"), "quota")
-    keyed = rows.withColumn("_s", stratum(fields))
-    keyed = keyed.join(F.broadcast(quota.where("quota > 0")), "_s")
-    keyed = keyed.withColumn("_k", stable_key(F.concat(F.lit(salt + ":"), F.col("_s")), F.col(key)))
-    place = F.row_number().over(Window.partitionBy("_s").orderBy("_k", key))
-    chosen = keyed.withColumn("_r", place).where("_r <= quota").drop("_s", "_k", "_r", "quota")
-    return stable_order(chosen, salt + ":final", [key])
+    quota = materialize(hamilton_quota(rows, n, fields).select(F.col("stratum").alias("_s"), F.col("size").alias("_size"), F.col("quota").alias("_q")), "quota")
+    chosen = _firsts(rows.withColumn("_s", stratum(fields)), quota, key, F.concat(F.lit(salt + ":"), F.col("_s")))
+    return stable_order(chosen.drop("_s", "_r"), salt + ":final", [key])
 
 
 def stratified_take(rows: DataFrame, n: int, fields: Sequence[str], salt: str, key: str = "row_hash") -> DataFrame:
     """n rows round-robin over the strata in the order of their canonical keys, with their ``position``."""
-    keyed = rows.withColumn("_s", stratum(fields)).withColumn("_k", stable_key(salt, F.col(key)))
-    turns = keyed.withColumn("_turn", F.row_number().over(Window.partitionBy("_s").orderBy("_k", key)))
-    # n rows are reached within the first n turns of any stratum, and all turns before the last are complete
-    return global_rank(turns.where(F.col("_turn") <= n), ["_turn", "_s"], "position").where(F.col("position") < n).drop("_s", "_k", "_turn")
+    keyed = rows.withColumn("_s", stratum(fields))
+    sizes = materialize(keyed.groupBy("_s").agg(F.count("*").alias("_size")), "sizes")
+    low, high = 0, sizes.agg(F.coalesce(F.max("_size"), F.lit(0))).first()[0]
+    while low < high:  # the turns in which n rows are reached
+        middle = (low + high) // 2
+        if (sizes.agg(F.sum(F.least("_size", F.lit(middle)))).first()[0] or 0) >= n:
+            high = middle
+        else:
+            low = middle + 1
+    turns = _firsts(keyed, sizes.withColumn("_q", F.least("_size", F.lit(high))), key, F.lit(salt)).withColumnRenamed("_r", "_turn")
+    return global_rank(turns, ["_turn", "_s"], "position").where(F.col("position") < n).drop("_s", "_turn")
 
 
 def bin_quotas(available: dict[str, int], target: int) -> dict[str, int]:
@@ -147,11 +172,65 @@ def plan_repair(inside: Sequence[tuple], outside: Sequence[tuple], want: dict[st
     return now - first, first - now
 
 
+def plan_repair_as_tables(inside: DataFrame, outside: DataFrame, want: dict[str, int], key: str, bucket: str, group: Sequence[str]) -> tuple[DataFrame | None, DataFrame | None]:
+    """``plan_repair`` for any number of rows: (rows to add, rows to remove), each with the key.
+
+    While two buckets are the smallest that lack and have too many rows, their swaps run through the shared strata in
+    order, so the counts of the strata say how many rows each gives, and the rows are those ranked first. Rows that
+    came in or went out are never swapped again. The driver sees counts by bucket and stratum.
+    """
+    topic = group[0]
+    named = lambda df: materialize(df.withColumn("_full", stratum(group)).withColumn("_topic", F.coalesce(F.col(topic).cast("string"), F.lit("None"))).select(key, bucket, "_full", "_topic"), "side")
+    left = {"in": named(inside), "out": named(outside)}
+    counts = {side: defaultdict(int, {(b, s, t): n for b, s, t, n in df.groupBy(bucket, "_full", "_topic").count().collect()}) for side, df in left.items()}
+    have: dict[str, int] = defaultdict(int)
+    for (b, _, _), n in counts["in"].items():
+        have[b] += n
+    moved: dict[str, list[DataFrame]] = {"in": [], "out": []}
+    while True:
+        lack = min((b for b in want if have[b] < want[b]), default=None)
+        if lack is None:
+            break
+        spare = min((b for b in have if have[b] > want.get(b, 0)), default=None)
+        if spare is None:
+            raise ValueError("the quotas cannot be reached by swaps")
+        open_swaps = min(want[lack] - have[lack], have[spare] - want.get(spare, 0))
+        done = 0
+        for column, at, suffix in (("_full", 1, ""), ("_topic", 2, "-topic")):
+            sizes = {side: defaultdict(int) for side in counts}
+            for side, b in (("out", lack), ("in", spare)):
+                for k, n in counts[side].items():
+                    if k[0] == b:
+                        sizes[side][k[at]] += n
+            takes = {}
+            for s in sorted(sizes["out"].keys() & sizes["in"].keys()):
+                n = min(sizes["out"][s], sizes["in"][s], open_swaps - done)
+                if n:
+                    takes[s] = n
+                    done += n
+            if not takes:
+                continue
+            quota = inside.sparkSession.createDataFrame(sorted(takes.items()), f"{column} string, _q long")
+            for side, b, action in (("out", lack, "add"), ("in", spare, "remove")):
+                keyed = join_hot(left[side].where(F.col(bucket) == b), quota, [column]).withColumn("_k", stable_key(f"metadata-swap-{action}{suffix}", F.col(key)))
+                chosen = materialize(rank_within(keyed, column, ["_k", key], sum(sizes[side].values()), "_r").where("_r <= _q").select(key, "_full", "_topic"), "swapped")
+                moved[side].append(chosen.select(key))
+                for s, t, n in chosen.groupBy("_full", "_topic").count().collect():
+                    counts[side][b, s, t] -= n
+                left[side] = materialize(left[side].join(chosen.select(key), key, "left_anti"), "side")
+        if not done:
+            raise ValueError(f"no shared topic to swap {spare} for {lack}")
+        have[lack] += done
+        have[spare] -= done
+    union = lambda parts: functools.reduce(DataFrame.unionByName, parts) if parts else None
+    return union(moved["out"]), union(moved["in"])
+
+
 def repair_quota(master: DataFrame, selected: DataFrame, target: int, bucket: str = "difficulty_bucket", group: Sequence[str] = ("topic", "solution_token_decile", "prompt_token_decile"), key: str = "row_hash") -> DataFrame:
     """``selected`` after swaps with other rows of ``master`` that make its bucket counts proportional.
 
-    The swaps depend on one another, so they are planned on the driver over ids and strata of at most
-    ``REPAIR_ROWS`` rows; only the buckets that lack or have too many rows are looked at there.
+    The swaps depend on one another: up to ``REPAIR_ROWS`` rows (ids and strata) are planned on the driver, more as
+    tables with the same result; only the buckets that lack or have too many rows are looked at.
     """
     want = {r[bucket]: r["quota"] for r in hamilton_quota(master, target, [bucket]).collect() if r["quota"]}
     have = {r[0]: r[1] for r in selected.groupBy(bucket).count().collect()}
@@ -160,16 +239,15 @@ def repair_quota(master: DataFrame, selected: DataFrame, target: int, bucket: st
     if not lacking:
         return selected
     columns = [key, bucket, *group]
-    inside = selected.where(F.col(bucket).isin(spare + lacking)).select(*columns)
-    outside = master.where(F.col(bucket).isin(lacking + spare)).join(selected.select(key), key, "left_anti").select(*columns)
+    inside = materialize(selected.where(F.col(bucket).isin(spare + lacking)).select(*columns), "inside")
+    outside = materialize(master.where(F.col(bucket).isin(lacking + spare)).join(selected.select(key), key, "left_anti").select(*columns), "outside")
+    goals = {b: want.get(b, 0) for b in lacking + spare}
     if inside.count() + outside.count() > REPAIR_ROWS:
-        raise ValueError(f"the repair concerns more than {REPAIR_ROWS} rows")
-    add, remove = plan_repair([tuple(r) for r in inside.collect()], [tuple(r) for r in outside.collect()], {b: want.get(b, 0) for b in lacking + spare})
-    spark = master.sparkSession
-    if not add:
-        return selected
-    swaps = spark.createDataFrame([(h,) for h in sorted(add)], f"{key} string"), spark.createDataFrame([(h,) for h in sorted(remove)], f"{key} string")
-    return selected.join(swaps[1], key, "left_anti").unionByName(master.join(swaps[0], key, "left_semi"), allowMissingColumns=True)
+        add, remove = plan_repair_as_tables(inside, outside, goals, key, bucket, group)
+        return selected.join(remove, key, "left_anti").unionByName(master.join(add, key, "left_semi"), allowMissingColumns=True)
+    add, remove = plan_repair([tuple(r) for r in inside.collect()], [tuple(r) for r in outside.collect()], goals)
+    swaps = [master.sparkSession.createDataFrame([(h,) for h in sorted(x)], f"{key} string") for x in (add, remove)]
+    return selected.join(F.broadcast(swaps[1]), key, "left_anti").unionByName(master.join(F.broadcast(swaps[0]), key, "left_semi"), allowMissingColumns=True)
 
 
 def nested_take(master: DataFrame, target: int, fields: Sequence[str], salt: str = "metadata-small-v1", bucket: str = "difficulty_bucket", key: str = "row_hash") -> DataFrame:

@@ -40,6 +40,8 @@ def record_metrics(rows: DataFrame, by: Sequence[str] = (), text: str | None = N
         (F.sum(F.coalesce("hit_max", F.lit(0))) / F.count("*")).alias("hit_max_rate"),
         F.count_if((F.col("strict_correct") == 1) & (F.col("fallback_correct") == 0)).alias("contract_violations"),
     ]
+    if "parse_fail" in rows.columns:
+        aggs.append(mean("parse_fail").alias("parse_fail_rate"))
     if text:
         rows = rows.withColumn("_loop", has_repetition_loop(F.col(text)).cast("int"))
         aggs.append(mean("_loop").alias("repetition_loop_rate"))

@@ -16,6 +16,7 @@ from gradeloom.session import spread, table
 from gradeloom.sources import io
 from gradeloom.streaming import running
 
+BOX_COMMAND = r"\\(?:boxed|fbox)"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -151,26 +152,61 @@ def embedding_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query", "rank", "neighbour", F.round("cosine", 6).alias("cosine"))
 
 
+def _variants(rows: DataFrame, made: dict[str, object]) -> DataFrame:
+    """(variant, t): the texts ``t`` as they are and with each change, so that every rule has texts that it holds for."""
+    cells = F.array(*[F.struct(F.lit(name).alias("variant"), c.alias("t")) for name, c in {"as is": F.col("t"), **made}.items()])
+    return rows.select(F.explode(cells).alias("v")).select("v.*")
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """Answers, solutions and documents as ``t``."""
+    parts = [table(spark, d, "dm_large_train").select("train_idx", "answer").distinct().select("answer"), table(spark, d, "internal_dev").select("solution"), table(spark, d, "documents").select("text")]
+    return spread(parts[0].toDF("t").unionByName(parts[1].toDF("t")).unionByName(parts[2].toDF("t")))
+
+
 @query
 def repetition_loops(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where(text.has_repetition_loop(F.col("text"))).select("doc_id")
+    """How many texts loop, as they are and if they came two and three times."""
+    t = F.coalesce(F.col("t"), F.lit(""))
+    rows = _variants(_texts(spark, d), {"twice": F.concat_ws("\n", t, t), "thrice": F.concat_ws("\n", t, t, t), "thrice in a line": F.concat_ws(" ", t, t, t)})
+    return rows.groupBy("variant", text.has_repetition_loop(F.col("t")).alias("loops")).agg(F.count("*").alias("n"))
+
+
+# What tools leave in texts, one for each kind that the rule knows, and one that is none.
+RESIDUE = ("```", "<tool", "</tool>", "tool-call", "Tool output", "Python code", "pythonoutput", "sympy.", "Wolfram", "calculator result", "execution result", "a tool")
 
 
 @query
 def tool_residue(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where(text.has_tool_residue(F.col("text"))).select("doc_id")
+    """How many texts hold residue of tools, as they are and with a sign of each kind after them."""
+    rows = _variants(_texts(spark, d), {sign: F.concat_ws(" ", "t", F.lit(sign)) for sign in RESIDUE})
+    return rows.groupBy("variant", text.has_tool_residue(F.col("t")).alias("residue")).agg(F.count("*").alias("n"))
+
+
+# Ends of questions for which the reject rules hold.
+QUESTION_ENDS = {
+    "proof": "Prove that it holds.", "choice": "A) 1\nB) 2\nC) 3", "options": "is it (a) or (b) or (c)", "best": "Choose the best value.", "figure": "as shown above", "example": "Give an example.",
+    "vary": "Answers may vary.", "cue": "answer: 5", "box": "\\boxed{3}",
+}
 
 
 @query
 def question_rejects(spark: SparkSession, d: str) -> DataFrame:
-    asked = _questions(spark, d).select("question").unionByName(table(spark, d, "internal_dev").select(F.col("problem").alias("question")))
-    return asked.groupBy(F.coalesce(text.question_reject_reason(F.col("question")), F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+    """Questions by reject reason, as they are, blank and with ends for which the rules hold."""
+    asked = _questions(spark, d).select(F.col("question").alias("t")).unionByName(table(spark, d, "internal_dev").select(F.col("problem").alias("t")))
+    rows = _variants(asked, {"blank": F.lit(" \n"), **{name: F.concat_ws(" ", "t", F.lit(end)) for name, end in QUESTION_ENDS.items()}})
+    return rows.groupBy("variant", F.coalesce(text.question_reject_reason(F.col("t")), F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query
 def solution_rejects(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "dm_large_train").select("train_idx", "answer").distinct()
-    return rows.groupBy(F.coalesce(boxes.solution_reject_reason(F.col("answer")), F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+    """Solutions by reject reason, as they are and with ends for which the rules hold."""
+    rows = table(spark, d, "dm_large_train").select("train_idx", "answer").distinct().select(F.col("answer").alias("t"))
+    rows = rows.unionByName(table(spark, d, "internal_dev").select(F.col("solution").alias("t")))
+    plain = F.regexp_replace("t", BOX_COMMAND, "")
+    ends = {"boxed": "$\\boxed{\\frac{1}{2}}$.", "open": "\\boxed{1", "after": "\\boxed{1} as wished", "twice": "\\boxed{1} \\fbox{2}", "tool": "```x``` \\boxed{1}"}
+    made = {name: F.concat_ws(" ", plain, F.lit(end)) for name, end in ends.items()} | {"loop": F.concat_ws("\n", plain, plain, plain, F.lit("\\boxed{1}"))}
+    return _variants(spread(rows), made).groupBy("variant", F.coalesce(boxes.solution_reject_reason(F.col("t")), F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query
@@ -310,10 +346,17 @@ def built_schedules(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def corpus_leaks(spark: SparkSession, d: str) -> DataFrame:
-    """Question digests that two of the corpus, the replay pool and the held-out items share."""
+    """How many question and family digests the corpus, the replay pool, the held-out items and the questions share."""
     p, r, v = (table(spark, d, t) for t in ("prepared_corpus", "replay_pool", "internal_dev"))
-    part = lambda a, b, name: audit.shared_keys(a, b, "question_hash", "question_hash").withColumn("between", F.lit(name))
-    return part(p, r, "prepared-replay").unionByName(part(p, v, "prepared-dev")).unionByName(part(r, v, "replay-dev"))
+    r = plan.replay_families(r, table(spark, d, "schedule_manifest"))
+    v = v.withColumn("family_hash", text.template_hash("problem"))
+    q = _questions(spark, d).select(text.question_hash("question").alias("question_hash"), text.template_hash("question").alias("family_hash"))
+    out = None
+    for name, a, b in (("prepared-replay", p, r), ("prepared-dev", p, v), ("replay-dev", r, v), ("prepared-train", p, q)):
+        for kind in ("question_hash", "family_hash"):
+            one = audit.overlap(a, b, kind, kind).select(F.lit(name).alias("between"), F.lit(kind).alias("kind"), "*")
+            out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query
@@ -323,16 +366,22 @@ def key_differences(spark: SparkSession, d: str) -> DataFrame:
     rows = _manifest(spark, d, "dm_large").select(F.col("schedule_idx").cast("string").alias("k"))
     used = _manifest(spark, d).select(F.col("source_row_hash").alias("k"))
     known = table(spark, d, "prepared_corpus").select(F.col("row_hash").alias("k")).unionByName(table(spark, d, "replay_pool").select(F.col("row_hash").alias("k")))
-    one = audit.key_difference(train, rows, "k").withColumn("what", F.lit("train-schedule"))
-    return one.unionByName(audit.key_difference(used, known, "k").withColumn("what", F.lit("schedule-corpus")))
+    small = _manifest(spark, d, "dm_small").select(F.col("source_row_hash").alias("k"))
+    out = None
+    for what, a, b in (("train-schedule", train, rows), ("schedule-corpus", used, known), ("small-corpus", small, known), ("small-large", small, _manifest(spark, d, "dm_large").select(F.col("source_row_hash").alias("k")))):
+        one = audit.key_difference(a, b, "k").withColumn("what", F.lit(what))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query
 def question_drift(spark: SparkSession, d: str) -> DataFrame:
-    """Records whose normalised question hash isn't the one recorded in the schedule."""
+    """Records whose normalised question hash isn't the one recorded in the schedule, and those whose family hash isn't the question's."""
     now = question_hashes(spark, d)
     recorded = _manifest(spark, d, "dm_large").where("source_question_hash is not null").select(F.col("schedule_idx").alias("train_idx"), F.col("source_question_hash").alias("question_hash"))
-    return audit.mismatches(now, recorded, "train_idx", "question_hash")
+    families = _manifest(spark, d, "dm_large").where("source_family_hash is not null").select(F.col("schedule_idx").alias("train_idx"), F.col("source_family_hash").alias("question_hash"))
+    part = lambda other, name: audit.mismatches(now, other, "train_idx", "question_hash").select("train_idx", F.lit(name).alias("against"))
+    return part(recorded, "question").unionByName(part(families, "family"))
 
 
 @query
@@ -383,7 +432,8 @@ def token_limits(spark: SparkSession, d: str) -> DataFrame:
 def _records(spark: SparkSession, d: str) -> DataFrame:
     """Evaluation records: a user's last event of a type stands for an item's result in an arm."""
     last = table(spark, d, "events").groupBy(F.col("user_id").alias("idx"), F.col("event_type").alias("arm")).agg(F.max_by("value", F.struct("ts", "event_id")).alias("v"))
-    return last.select(
+    return last.withColumn("parse_fail", (F.col("v") < 5).cast("int")).select(
+        "parse_fail",
         "idx", "arm", (F.col("v") > 10).cast("int").alias("fallback_correct"), (F.col("v") > 20).cast("int").alias("strict_correct"),
         F.floor(F.col("v") * 10).alias("generated_tokens"), (F.col("v") > 60).cast("int").alias("hit_max"),
     )
@@ -392,7 +442,7 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
 @query
 def record_metrics(spark: SparkSession, d: str) -> DataFrame:
     out = stats.record_metrics(_records(spark, d), ["arm"])
-    return out.select("arm", "n", "median_tokens", "contract_violations", *[F.round(c, 9).alias(c) for c in ("strict_acc", "fallback_acc", "format_gap", "mean_tokens", "hit_max_rate")])
+    return out.select("arm", "n", "median_tokens", "contract_violations", *[F.round(c, 9).alias(c) for c in ("strict_acc", "fallback_acc", "format_gap", "mean_tokens", "hit_max_rate", "parse_fail_rate")])
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -450,7 +500,124 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
 @query
 def streamed_totals(spark: SparkSession, d: str) -> DataFrame:
     """Running totals by source after streaming all schedule rows."""
-    import uuid
+    return running.run_available(spark, f"{d}/schedule_manifest.parquet", running.running_totals)
+
+
+@query
+def streamed_identities(spark: SparkSession, d: str) -> DataFrame:
+    """How many source rows keep one question and family while all schedule rows stream by."""
+    build = lambda rows: running.single_valued(rows, "source_row_hash", ("source_question_hash", "source_family_hash"))
+    return running.run_available(spark, f"{d}/schedule_manifest.parquet", build).groupBy("consistent").agg(F.count("*").alias("n"), F.sum("rows").alias("rows"))
+
+
+@query
+def streamed_windows(spark: SparkSession, d: str) -> DataFrame:
+    """``event_windows`` as a stream."""
+    out = running.run_available(spark, f"{d}/events.parquet", running.tumbling)
+    return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query
+def nested_membership(spark: SparkSession, d: str) -> DataFrame:
+    """Source rows of the large arm by whether the small arm has them, per source."""
+    large = _manifest(spark, d, "dm_large")
+    flagged = audit.flag_members(large, _manifest(spark, d, "dm_small"), "source_row_hash", "in_small")
+    return flagged.groupBy("source", "in_small").agg(F.count("*").alias("n"))
+
+
+@query
+def bin_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of each topic, and how many of them are in each difficulty bin."""
+    b = F.when(F.col("difficulty") < 5, "anchor").when(F.col("difficulty") < 6.5, "frontier").otherwise("hard")
+    return audit.conditional_counts(table(spark, d, "prepared_corpus").withColumn("bin", b), ["topic"], "bin", ["anchor", "frontier", "hard"])
+
+
+@query
+def raw_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct values that training and held-out tables share, exactly as stored."""
+    train, dev, docs = (table(spark, d, t) for t in ("dm_large_train", "internal_dev", "documents"))
+    corpus, manifest = table(spark, d, "prepared_corpus"), table(spark, d, "schedule_manifest")
+    pairs = {"question-problem": (train, dev, "question", "problem"), "answer-solution": (train, dev, "answer", "solution"), "text-solution": (docs, dev, "text", "solution"), "origin-row": (docs, corpus, "origin_hash", "row_hash"), "schedule-row": (manifest, corpus, "source_row_hash", "row_hash")}
+    out = None
+    for name, args in pairs.items():
+        one = audit.overlap(*args).select(F.lit(name).alias("between"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def single_values(spark: SparkSession, d: str) -> DataFrame:
+    """Whether both arms were made for one and the same split, and for one arm."""
+    arms = {a: _manifest(spark, d, a) for a in ("dm_small", "dm_large")}
+    part = lambda c: audit.single_across(arms, c).withColumn("column", F.lit(c))
+    return part("split").unionByName(part("arm")).unionByName(part("repeat_id"))
 
-    name = "totals_" + uuid.uuid4().hex
-    return running.run_available(spark, f"{d}/schedule_manifest.parquet", running.running_totals, name)
+
+@query
+def record_provenance(spark: SparkSession, d: str) -> DataFrame:
+    """What breaks the provenance of the schedule rows."""
+    rows = _manifest(spark, d)
+    return audit.provenance(rows, {"split": "train", "arm": "dm_large", "ruler_version": "v2"}, ["split", "source"], ["source_row_hash", "topic", "source_question_hash"])
+
+
+@query
+def schedule_report(spark: SparkSession, d: str) -> DataFrame:
+    """What a validator recounts from the large arm and its training rows."""
+    return S.schedule_report(_manifest(spark, d, "dm_large"), table(spark, d, "dm_large_train").select("train_idx").distinct())
+
+
+@query
+def profile_closure(spark: SparkSession, d: str) -> DataFrame:
+    """How the source rows close over the corpus, their first exposure and their further ones, of which there should be one."""
+    rows = _manifest(spark, d, "dm_large").select(F.col("source_row_hash").alias("row_hash"), "repeat_id")
+    sampled = rows.where("repeat_id > 0").withColumn("repeat_id", F.col("repeat_id") - 1)
+    return audit.profile_closure(table(spark, d, "prepared_corpus").select("row_hash"), rows.where("repeat_id = 0"), sampled, "row_hash", "repeat_id", 1)
+
+
+@query
+def held_out_check(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the held-out items have their registered number and no question of the replay pool."""
+    return audit.closed_set(table(spark, d, "replay_pool"), table(spark, d, "internal_dev"), 500, "question_hash")
+
+
+@query
+def corpus_ladder(spark: SparkSession, d: str) -> DataFrame:
+    """Status and sizes that the corpus allows, for several ranges of difficulty and a ladder of a tenth of the usual size."""
+    rows = table(spark, d, "prepared_corpus")
+    ladder = ((2_000, 400, 2_000), (1_000, 200, 1_000))
+    lines = []
+    for low, high in ((4.0, 8.0), (5.0, 7.0), (0.0, 10.0), (9.0, 10.0)):
+        n = rows.where((F.col("difficulty") >= low) & (F.col("difficulty") < high)).count()
+        lines.append((low, high, n, *plan.corpus_sizes(n, low, high, ladder)))
+    return spark.createDataFrame(lines, "low double, high double, n long, status string, small int, large int")
+
+
+@query
+def first_items(spark: SparkSession, d: str) -> DataFrame:
+    """The four held-out items that come first (a sample for a trial run)."""
+    return audit.first_rows(table(spark, d, "internal_dev").select("idx", "level", "type"), ["idx"], 4)
+
+
+@query
+def embedding_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors whose cosine with a vector whose id is divisible by 100 is 0.3 or more, with the nearest of these."""
+    vectors = table(spark, d, "embeddings")
+    out = similarity.near_any(vectors, vectors.where("vec_id % 100 = 0"), 0.3)
+    return out.select("vec_id", "nearest", F.round("cosine", 6).alias("cosine"))
+
+
+@query
+def question_nearest_dev(spark: SparkSession, d: str) -> DataFrame:
+    """The held-out problem nearest to each distinct question, by shared character pieces."""
+    firsts = _questions(spark, d).groupBy("question").agg(F.min("train_idx").alias("train_idx"))
+    out = similarity.nearest_match(firsts, table(spark, d, "internal_dev"), "train_idx", "idx", "question", "problem")
+    return out.select(F.col("probe").alias("train_idx"), F.round("score", 9).alias("score"), F.col("ref").alias("idx"))
+
+
+@query
+def whole_batches(spark: SparkSession, d: str) -> DataFrame:
+    """What a run resumed after an interruption keeps of its records and has still to do, in batches of 64."""
+    items = table(spark, d, "dm_large_train").select("train_idx").distinct()
+    saved = io.whole_batches(items.where("train_idx % 3 <> 1"), ["train_idx"], 64)
+    done, left = saved.agg(F.count("*").alias("kept"), F.max("train_idx").alias("last_kept")), io.remaining(items, saved, "train_idx").agg(F.count("*").alias("remaining"))
+    return done.crossJoin(F.broadcast(left))

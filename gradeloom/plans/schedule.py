@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -33,6 +34,9 @@ def replay_families(replay: DataFrame, manifest: DataFrame) -> DataFrame:
 
 @dataclass
 class Schedules:
+    """``master`` has the rows of the large arm, flagged ``in_nested_small``."""
+
+    master: DataFrame
     small: DataFrame
     large: DataFrame
     gaps: DataFrame
@@ -43,14 +47,17 @@ class Schedules:
         return self.small.unionByName(self.large, allowMissingColumns=True)
 
 
-def build_schedules(prepared: DataFrame, replay: DataFrame, master_rows: int, small_rows: int, exposures: int, replay_rows: int, seed: int = 42) -> Schedules:
+def build_schedules(prepared: DataFrame, replay: DataFrame, master_rows: int, small_rows: int, exposures: int, replay_rows: int, seed: int = 42, selector: Callable[[DataFrame, int], DataFrame] | None = None) -> Schedules:
     """Both arms: a master selection, a subset nested in it, equal exposures of each and the same replay rows.
 
-    Both arms have one length, so the seeded shuffle puts the replay rows into the same slots of both.
+    Both arms have one length, so the seeded shuffle puts the replay rows into the same slots of both. ``selector``
+    picks the subset from the master; it is the nested take with repaired quotas unless another is given.
     """
+    select = selector or (lambda rows, n: sampling.nested_take(rows, n, STRATA))
     rows = with_strata(prepared)
     master = materialize(sampling.proportional_take(rows, master_rows, STRATA, "metadata-master-v1").drop("position"), "master")
-    small = materialize(sampling.nested_take(master, small_rows, STRATA).drop("position"), "small")
+    small = materialize(select(master, small_rows).drop("position"), "small")
+    audit.require_rows(small, exactly=small_rows, what="the subset")
     audit.require_empty(audit.key_difference(small, master, "row_hash").where("side = 'missing'"), "rows of the subset outside the master")
     gaps = distribution_gap(small, master, STRATA)
     pool = materialize(S.deduplicate_replay(replay), "pool")
@@ -67,4 +74,18 @@ def build_schedules(prepared: DataFrame, replay: DataFrame, master_rows: int, sm
         return materialize(numbered.withColumn("split", F.lit("train")).withColumn("arm", F.lit(f"dm_{name}")), "arm")
 
     s, g = arm("small", small), arm("large", master)
-    return Schedules(s, g, gaps, S.token_budget(s.unionByName(g)), S.replay_audit(pool))
+    return Schedules(audit.flag_members(master, small, "row_hash", "in_nested_small"), s, g, gaps, S.token_budget(s.unionByName(g)), S.replay_audit(pool))
+
+
+def corpus_sizes(rows: int, low: float, high: float, ladder: tuple[tuple[int, int, int], ...] = ((20_000, 4_000, 20_000), (10_000, 2_000, 10_000)), narrow: tuple[float, float] = (5.0, 7.0)) -> tuple[str, int, int]:
+    """(status, small, large): the sizes that a profile of so many rows of a difficulty range allows.
+
+    The first step (rows needed, small, large) of the ladder that is reached decides; a narrow range that misses the
+    first step is to be widened before smaller sizes are taken.
+    """
+    for i, (least, small, large) in enumerate(ladder):
+        if i == 1 and (low, high) == narrow:
+            return "widen the range", 0, 0
+        if rows >= least:
+            return "ready", small, large
+    return "too few rows", 0, 0

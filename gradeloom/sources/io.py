@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import glob
+import hashlib
 import json
 import os
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyarrow.fs import FileSystem
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,9 +30,17 @@ def read_jsonl(spark: SparkSession, path: str | Sequence[str], schema: T.StructT
 
 
 def bad_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line) of the lines that are no JSON, without a driver loop; ``line`` is the text itself."""
-    lines = spark.read.text(path).where(F.trim("value") != "").select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
-    return lines.where(F.try_parse_json("line").isNull())
+    """(file, line_no, line) of the lines that are no JSON; blank ones are skipped but count as lines.
+
+    A file is read in blocks, each in the order of its lines; a line's number is its place in its block and the
+    lines of the blocks before it, one row each.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), "value", F.monotonically_increasing_id().alias("_id"))
+    blocks = lines.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_block")) - F.col("_n")
+    blocks = blocks.withColumn("_before", before).drop("_n")
+    bad = lines.where((F.trim("value") != "") & F.try_parse_json("value").isNull())
+    return bad.join(blocks, ["file", "_block"]).select("file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line_no"), F.col("value").alias("line"))
 
 
 def first_character(spark: SparkSession, path: str) -> str:
@@ -85,18 +96,40 @@ def write_training(rows: DataFrame, path: str, name: str, order: str = "schedule
     return write_jsonl(rows.orderBy(order).select("question", "answer"), f"{path}/{name}_train.jsonl"), write_jsonl(rows, f"{path}/{name}_schedule.jsonl", [order])
 
 
-def write_json(path: str | os.PathLike, value: Any) -> None:
-    """Pretty JSON with sorted keys, put in place at once."""
+def _file(spark: SparkSession, path: str):
+    """(file system, path) of a path of any scheme."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def write_json(path: str | os.PathLike, value: Any, spark: SparkSession | None = None) -> None:
+    """Pretty JSON with sorted keys, put in place at once; with ``spark`` on any file system that it knows."""
+    body = json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True) + "\n"
+    if spark:
+        fs, to = _file(spark, str(path))
+        part = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.part")
+        out = fs.create(part, True)
+        out.write(bytearray(body.encode()))
+        out.close()
+        fs.delete(to, False)
+        if not fs.rename(part, to):
+            raise OSError(f"cannot put {path} in place")
+        return
     to = Path(path)
     to.parent.mkdir(parents=True, exist_ok=True)
     part = to.with_name(to.name + ".part")
-    part.write_text(json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True) + "\n", encoding="utf-8")
+    part.write_text(body, encoding="utf-8")
     os.replace(part, to)
 
 
-def read_object(path: str | os.PathLike) -> dict[str, Any]:
-    """A JSON file that must hold an object."""
-    value = json.loads(Path(path).read_text(encoding="utf-8"))
+def read_object(path: str | os.PathLike, spark: SparkSession | None = None) -> dict[str, Any]:
+    """A JSON file that must hold an object; with ``spark`` on any file system that it knows."""
+    if spark:
+        found = spark.read.text(str(path), wholetext=True).collect()
+        body = found[0][0] if found else ""
+    else:
+        body = Path(path).read_text(encoding="utf-8")
+    value = json.loads(body)
     if not isinstance(value, dict):
         raise BadRecord(f"not an object: {path}")
     return value
@@ -108,10 +141,29 @@ def sidecar(path: str | os.PathLike) -> dict[str, Any] | None:
     return read_object(beside) if beside.exists() else None
 
 
-def file_digests(spark: SparkSession, path: str, exclude: str = "manifest.json") -> DataFrame:
-    """(path, length, sha256) of every file below a folder, one task per file, without the manifest itself."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256")).where(~F.col("path").endswith("/" + exclude))
+def file_digests(spark: SparkSession, path: str, exclude: str = "manifest.json", chunk: int = 1 << 20) -> DataFrame:
+    """(path, length, sha256) of every file below a folder, but the manifest that lies in the folder itself.
+
+    Spark lists the files; each is read in chunks where its digest is made, so files of any size are taken.
+    """
+    fs, at = _file(spark, path)
+    top = fs.makeQualified(at).toUri().getPath().rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    files = files.where(~F.col("path").endswith(f"{top}/{exclude}"))
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = []
+            for name in batch.column(0).to_pylist():
+                known, local = FileSystem.from_uri(name)
+                h = hashlib.sha256()
+                with known.open_input_stream(local) as f:
+                    while block := f.read(chunk):
+                        h.update(block)
+                sums.append(h.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums, pa.string())], names=["path", "length", "sha256"])
+
+    return files.repartition(spark.sparkContext.defaultParallelism).mapInArrow(digest, "path string, length long, sha256 string")
 
 
 def union_configs(parts: dict[str, DataFrame], column: str = "config") -> DataFrame:
@@ -153,10 +205,23 @@ def remaining(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return work.join(done.select(key), key, "left_anti")
 
 
-def finished(summary_path: str, expected: dict[str, Any]) -> bool:
-    """Whether a summary says ``complete`` under the same settings, so the work can be skipped."""
-    found = glob.glob(summary_path)
+def whole_batches(saved: DataFrame, order: Sequence[str], batch: int) -> DataFrame:
+    """The saved records of a run that was broken off, cut to a whole number of batches in their order."""
+    n = saved.count()
+    return saved.orderBy(*order).limit(n - n % batch)
+
+
+def finished(summary_path: str, expected: dict[str, Any], spark: SparkSession | None = None) -> bool:
+    """Whether a summary says ``complete`` under the same settings, so the work can be skipped.
+
+    The path may be a pattern, on any file system that ``spark`` knows if it is given.
+    """
+    if spark:
+        fs, at = _file(spark, summary_path)
+        found = [str(s.getPath().toString()) for s in fs.globStatus(at) or []]
+    else:
+        found = glob.glob(summary_path)
     if not found:
         return False
-    summary = read_object(found[0])
+    summary = read_object(sorted(found)[0], spark)
     return summary.get("stage") == "complete" and all(summary.get(k) == v for k, v in expected.items())

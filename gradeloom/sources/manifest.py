@@ -29,6 +29,28 @@ def setting_differences(found: dict[str, Any], expected: dict[str, Any], fields:
     return {k: (found.get(k), expected.get(k)) for k in (fields or expected) if found.get(k) != expected.get(k)}
 
 
+def nested_differences(found: Any, expected: Any, at: str = "") -> dict[str, tuple[Any, Any]]:
+    """{dotted field: (found, expected)} of what differs below the fields of ``expected``; a missing one counts as None."""
+    if not isinstance(expected, dict):
+        return {} if found == expected and isinstance(found, bool) == isinstance(expected, bool) else {at: (found, expected)}
+    inside = found if isinstance(found, dict) else {}
+    return {k: v for name, want in expected.items() for k, v in nested_differences(inside.get(name), want, f"{at}.{name}" if at else name).items()}
+
+
+def require_settings(value: dict[str, Any], expected: dict[str, Any], files: dict[str, str | Path] | None = None) -> dict[str, Any]:
+    """A result that later work depends on, if it has the expected settings and the digests of ``files`` by dotted field."""
+    wrong = nested_differences(value, expected)
+    for field, path in (files or {}).items():
+        recorded: Any = value
+        for name in field.split("."):
+            recorded = recorded.get(name) if isinstance(recorded, dict) else None
+        if recorded != (now := file_digest(path)):
+            wrong[field] = (recorded, now)
+    if wrong:
+        raise ManifestError(f"{wrong}")
+    return value
+
+
 def write_manifest(path: str | Path, kind: str, config: dict[str, Any], artifacts: dict[str, str | Path], **extra: Any) -> dict[str, Any]:
     """Write and return a manifest with the digests of its configuration and artifacts; reserved keys are kept safe."""
     body = {

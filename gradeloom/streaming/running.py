@@ -21,6 +21,12 @@ def first_seen(stream: DataFrame, key: str = "source_row_hash") -> DataFrame:
     return stream.dropDuplicates([key])
 
 
+def single_valued(stream: DataFrame, key: str, values: tuple[str, ...]) -> DataFrame:
+    """(key, rows, consistent): whether all rows of a key so far have the values of the first; nulls count as a value (mode complete)."""
+    one = F.to_json(F.struct(*values), {"ignoreNullFields": "false"})
+    return stream.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("rows"), (F.min(one) == F.max(one)).alias("consistent"))
+
+
 def first_seen_within(stream: DataFrame, key: str, event_time: str, lateness: str) -> DataFrame:
     """First rows with bounded state: repeats are dropped if they come within the lateness."""
     return stream.withWatermark(event_time, lateness).dropDuplicatesWithinWatermark([key])
@@ -38,16 +44,27 @@ def tumbling(events: DataFrame, event_time: str = "ts", width: str = "1 hour", l
     return out.select(F.col("w.start").alias("window_start"), *by, "n", "total")
 
 
-def run_available(spark: SparkSession, path: str, build: Callable[[DataFrame], DataFrame], name: str, mode: str = "complete") -> DataFrame:
-    """Run a query over the files of a table that are there now and return what it has put out."""
+def run_available(spark: SparkSession, path: str, build: Callable[[DataFrame], DataFrame], mode: str = "complete") -> DataFrame:
+    """Run a query over the files of a table that are there now and return what it has put out.
+
+    Each batch is written to a table in the shared folder: in its place for the output mode complete, else added.
+    """
     schema = spark.read.parquet(path).schema
     reader = spark.readStream.schema(schema)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
         reader, path = reader.option("pathGlobFilter", at.getName()), at.getParent().toString()  # a stream reads folders
-    query = build(reader.parquet(path)).writeStream.outputMode(mode).format("memory").queryName(name)
-    state = f"{shared_folder(spark).rstrip('/')}/gradeloom-stream-{uuid.uuid4().hex}"
-    query = query.option("checkpointLocation", state).trigger(availableNow=True).start()
+    out = build(reader.parquet(path))
+    folder = f"{shared_folder(spark).rstrip('/')}/gradeloom-stream-{uuid.uuid4().hex}"
+    how = "overwrite" if mode == "complete" else "append"
+
+    def write(part: DataFrame, _: int) -> None:
+        part.write.mode(how).parquet(folder + "/rows")
+
+    query = out.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", folder + "/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    drop_at_end(spark, state)
-    return spark.table(name)
+    drop_at_end(spark, folder)
+    rows = spark._jvm.org.apache.hadoop.fs.Path(folder + "/rows")
+    if not rows.getFileSystem(spark._jsc.hadoopConfiguration()).exists(rows):  # nothing came
+        return spark.createDataFrame([], out.schema)
+    return spark.read.schema(out.schema).parquet(folder + "/rows")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradeloom.functions.canonical import canonical_json
-from gradeloom.operators import audit, ordering, sampling, similarity, stats
+from gradeloom.operators import audit, ordering, pairs, sampling, similarity, stats
 from gradeloom.operators import schedule as S
 from gradeloom.operators.graph import connected_components
 from gradeloom.operators.pairs import pairs_within
@@ -76,8 +76,7 @@ def test_seeded_shuffle_is_the_list_shuffle(frame):
     random.Random(42).shuffle(places)
     got = ordering.seeded_shuffle(frame([(i,) for i in range(40)], "pos long"), "pos", 42).orderBy("schedule_idx").collect()
     assert [r.pos for r in got] == places
-    with pytest.raises(ValueError):
-        ordering.seeded_permutation(ordering.SHUFFLE_ROWS + 1, 1)
+    assert ordering.seeded_shuffle(frame([], "pos long"), "pos", 42).count() == 0
 
 
 def test_bin_quotas():
@@ -102,6 +101,100 @@ def test_repair_meets_quotas_with_few_swaps(frame):
     assert dict(Counter(r.difficulty_bucket for r in nested.collect())) == {k: v for k, v in want.items() if v}
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_repair_as_tables_is_the_one_on_the_driver(frame, monkeypatch, seed):
+    rows = corpus(random.Random(seed), 60)
+    master, base = frame(rows, CORPUS), frame(sorted(rows, key=lambda r: r[2])[:24], CORPUS)
+    here = {r.row_hash for r in sampling.repair_quota(master, base, 24).collect()}
+    monkeypatch.setattr(sampling, "REPAIR_ROWS", 0)
+    assert {r.row_hash for r in sampling.repair_quota(master, base, 24).collect()} == here
+
+
+def test_takes_with_groups_too_large_for_a_window(frame, monkeypatch):
+    rows = frame(corpus(random.Random(6), 150), CORPUS)
+    takes = lambda: ([tuple(r) for r in sampling.proportional_take(rows, 40, FIELDS, "s").orderBy("position").collect()], [tuple(r) for r in sampling.stratified_take(rows, 40, FIELDS, "s").orderBy("position").collect()])
+    windows = takes()
+    for module in (ordering, sampling):
+        monkeypatch.setattr(module, "WINDOW_ROWS", 1)
+    assert takes() == windows
+
+
+def test_joins_on_hot_keys(frame, monkeypatch):
+    rows = frame([(1, i) for i in range(50)] + [(2, 60), (3, 70), (None, 80)], "k long, v long")
+    keys = frame([(1, "a"), (2, "b"), (9, "c")], "k long, w string")
+    got = lambda how, **kw: sorted(map(str, pairs.join_hot(rows, keys, ["k"], how, **kw).collect()))
+    monkeypatch.setattr(pairs, "HOT_ROWS", 10)
+    for how in ("inner", "left", "left_semi"):
+        assert got(how) == got(how, most=0)
+    assert len(got("inner")) == 51 and len(got("left", most=0)) == 53
+
+
+def test_conditions_on_pairs(frame):
+    rows = frame([("g", i, i % 3, i) for i in range(9)], "g string, k long, c int, n int")
+    out = {tuple(r)[1:] for r in pairs.pairs_within(rows, "g", "k", "c", block=2, carry=["n"], keep="n_b - n_a <= 2").collect()}
+    assert out == {(i, j) for i in range(9) for j in range(i + 1, min(9, i + 3)) if i % 3 != j % 3}
+
+
+def test_counts_flags_and_overlaps(frame):
+    a, b = frame([(1, "x"), (1, "x"), (2, "y"), (None, None)], "k long, v string"), frame([(2, "y"), (3, None)], "k long, v string")
+    assert audit.require_rows(a, exactly=4) == 4 and audit.require_rows(a, at_least=2) == 4
+    for bad in ({"exactly": 3}, {"at_least": 5}):
+        with pytest.raises(audit.Violation):
+            audit.require_rows(a, **bad)
+    assert [r.k for r in audit.first_rows(a.where("k is not null"), ["k", "v"], 2).collect()] == [1, 1]
+    assert sorted((r.k or 0, r.known) for r in audit.flag_members(a, b, "k", "known").collect()) == [(0, False), (1, False), (1, False), (2, True)]
+    assert tuple(audit.overlap(a, b, "v", "v").first()) == (2, 1, 1) and tuple(audit.overlap(a.limit(0), b, "v", "v").first()) == (0, 1, 0)
+    assert {tuple(r) for r in audit.single_across({"a": a, "b": b}, "v").collect()} == {("a", 3, False), ("b", 2, False)}
+    assert {tuple(r) for r in audit.single_across({"a": a.where("k = 1"), "b": a.where("k = 1")}, "v").collect()} == {("a", 1, True), ("b", 1, True)}
+    assert {tuple(r) for r in audit.conditional_counts(a, ["v"], "k", [1, 2]).collect()} == {("x", 2, 2, 0), ("y", 1, 0, 1), (None, 1, 0, 0)}
+    assert tuple(audit.closed_set(a, b, 2, "v").first()) == (2, 2, 1, False) and audit.closed_set(a.where("k = 1"), b, 2, "v").first().valid
+
+
+def test_provenance(frame):
+    rows = frame([("v2", "e", "m"), ("v1", "e", "None"), ("v2", "f", " ")], "ruler string, eval string, manifest string")
+    got = {tuple(r) for r in audit.provenance(rows, {"ruler": "v2", "prompt": "p"}, ["eval"], ["manifest"]).collect()}
+    assert got == {("ruler", "drifted", 1), ("prompt", "missing", 3), ("eval", "not single", 3), ("manifest", "null", 2)}
+    assert audit.provenance(rows.limit(0), {"ruler": "v2"}, ["eval"]).count() == 0
+
+
+def test_profiles_close(frame):
+    items, single = frame([("a",), ("b",), ("c",)], "h string"), frame([("a", 1), ("b", 0)], "h string, g int")
+    sampled = frame([(h, i, 0) for h in "ab" for i in range(3)], "h string, s int, x int")
+    assert audit.profile_join(items, single, sampled, "h", "s", 3).count() == 6
+    for broken in (sampled.where("s < 2"), sampled.where("h = 'a'"), sampled.unionByName(sampled.limit(1))):
+        with pytest.raises(audit.Violation):
+            audit.profile_join(items, single, broken, "h", "s", 3)
+    with pytest.raises(audit.Violation):
+        audit.profile_join(items.where("h <> 'a'"), single, sampled, "h", "s", 3)
+    assert {tuple(r) for r in audit.profile_closure(items, single, sampled.where("h = 'a' or s = 1"), "h", "s", 3).collect()} == {("closed", 1), ("incomplete samples", 1), ("no result", 1)}
+    modes = audit.group_modes(frame([("a", 0, "m"), ("a", 1, "m"), ("b", 0, "m"), ("b", 1, None), ("c", 0, "m"), ("c", 1, "n")], "h string, s int, mode string"), ["h"], "s", ["mode"])
+    assert {r.h: r.complete for r in modes.collect()} == {"a": True, "b": False, "c": False}
+
+
+def test_schedule_report(frame):
+    schema = "schedule_idx long, source string, source_row_hash string, source_question_hash string, source_family_hash string, assistant_tokens int, prompt_tokens int, train_tokens int"
+    rows = [(0, "a", None, None, None, 1, 2, 3), (1, "math_replay", "r", "q", "f", 1, 2, 3), (1, "math_replay", "r", "q", "f", 1, 2, 3), (3, "math_replay", "r", "q2", "f", 1, 2, 3), (4, "math_replay", "s", None, "f", 1, 2, None)]
+    report = S.schedule_report(frame(rows, schema), frame([(0,), (1,), (3,), (7,)], "train_idx long"))
+    got = {r.check: r.value for r in report.collect()}
+    assert got == {
+        "rows": 4, "replay_rows": 3, "replay_sources": 1, "replay_questions": 2, "replay_families": 1, "assistant_tokens": 4, "prompt_tokens": 8, "train_tokens": 9, "bad_repeated_positions": 0, "bad_gaps": 1,
+        "bad_without_training_row": 1, "bad_without_schedule_row": 1, "bad_replay_identity": 1, "bad_replay_drift": 1,
+    }
+    assert {tuple(r) for r in S.recorded_differences(report, {"rows": 4, "train_tokens": 10, "kept": 2}).collect()} == {("train_tokens", 9, 10), ("kept", None, 2)}
+
+
+def test_corpus_sizes():
+    from gradeloom.plans.schedule import corpus_sizes
+
+    assert [corpus_sizes(n, *r)[1:] for n, r in ((25_000, (4, 8)), (15_000, (4, 8)), (15_000, (5, 7)), (25_000, (5, 7)), (9_000, (4, 8)))] == [(4000, 20_000), (2000, 10_000), (0, 0), (4000, 20_000), (0, 0)]
+
+
+def test_flags_near_vectors(frame):
+    vectors = frame([(0, [1.0, 0.0]), (1, [2.0, 0.1]), (2, [0.0, 1.0]), (3, [0.0, 0.0]), (4, None), (5, [1.0, 0.05])], "vec_id long, embedding array<double>")
+    got = {(r.vec_id, r.nearest) for r in similarity.near_any(vectors, vectors.where("vec_id in (0, 1)"), 0.99).collect()}
+    assert got == {(0, 1), (1, 0), (5, 1)} and similarity.near_any(vectors, vectors.limit(0), 0.5).count() == 0
+
+
 def test_repair_prefers_equal_strata_then_topics():
     inside = [("a", "4.0", "t", 1, 1), ("b", "4.0", "u", 1, 1)]
     outside = [("c", "5.0", "t", 1, 1), ("d", "5.0", "u", 2, 2)]

@@ -104,7 +104,14 @@ def test_ruler_cases():
 def test_grade_contract(frame):
     rows = frame([("\\boxed{2}", "\\boxed{2}"), ("\\boxed{2}", "Answer: 2"), ("\\boxed{2}", None), (None, "\\boxed{2}")], "g string, t string")
     got = [tuple(r[0]) for r in rows.select(grade(F.col("g"), F.col("t"))).collect()]
-    assert got == [(1, 1, 0, "boxed"), (0, 1, 0, "explicit_cue"), (0, 0, 1, "none"), (0, 0, 0, "boxed")]
+    assert got == [(1, 1, 0, "boxed", "gradeloom-subset-v1"), (0, 1, 0, "explicit_cue", "gradeloom-subset-v1"), (0, 0, 1, "none", "gradeloom-subset-v1"), (0, 0, 0, "boxed", "gradeloom-subset-v1")]
+
+    class Lenient(SubsetRuler):
+        def is_correct(self, gold, answer):
+            return True
+
+    with pytest.raises(ValueError):
+        grade(F.col("g"), F.col("t"), Lenient())
 
 
 def test_canonical_json(frame):
@@ -128,6 +135,12 @@ def test_small_functions(frame):
     assert one(frame, "Some/Model Name!", text.slug) == "some-model-name" and len(one(frame, "x" * 99, text.capped_slug)) == 64
     assert one(frame, "\n a \n b\n", text.first_line) == "a" and one(frame, "\n a \n b\n", text.last_line) == "b" and one(frame, "", text.last_line) is None
     assert one(frame, "q", lambda c: text.prompt_version()) == "28557dc5b760"
+    assert text.data_tag("deepmath-a b/c.", "deepmath-") == "a-b-c" and text.data_tag("") == "run" and len(text.data_tag("x" * 30)) == 20
+    assert text.run_slug([("dm-", "tag"), ("lr", 2e-05), ("s", 42)]) == "dm-tag-lr2e-05-s42"
+    with pytest.raises(ValueError):
+        text.run_slug([("", "x" * 65)])
+    ids = frame([([1, 2, 3],), ([1, 9, 3],), ([1],)], "c array<long>")
+    assert [r[0] for r in ids.select(text.hit_limit(F.col("c"), [9], 3)).collect()] == [1, 0, 0]
     rng = random.Random(1)
     values = [rng.uniform(0, 10) for _ in range(50)]
     got = frame([(v,) for v in values], "v double").select(text.difficulty_bucket(F.col("v"))).collect()
