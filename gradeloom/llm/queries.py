@@ -114,10 +114,15 @@ def p7_normalized(spark: SparkSession, d: str) -> DataFrame:
     return textform.normalize_texts(docs).select("doc_id", "text_form", (~F.col("text").eqNullSafe(F.col("text_form"))).alias("changed"))
 
 
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with its look, how many documents share it and in how many stored forms."""
+    return textform.look_groups(_docs(spark, d))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return textform.look_alike_pairs(_docs(spark, d))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_mixed_rows, p1_shares, p1_margins, p2_found, p3_found, p3_sample, p3_report, p4_found, p4_groups, p5_sequences, p5_fill, p6_found, p6_leaks, p7_found, p7_normalized)
+    f.__name__: f for f in (p1_found, p1_mixed_rows, p1_shares, p1_margins, p2_found, p3_found, p3_sample, p3_report, p4_found, p4_groups, p5_sequences, p5_fill, p6_found, p6_leaks, p7_found, p7_normalized, p7_groups)
 }

@@ -5,6 +5,7 @@ letters, kinds of blank, invisible characters) are fixed tables derived from the
 their size does not depend on the corpus, so every worker holds them, and the lookup is the broadcast join of the
 method without a shuffle of single characters. Combining marks are then ordered by class within their run, the
 text is recomposed and the strings are rebuilt. ASCII texts without control characters are already in this form.
+The form is a key for comparisons, not text to train on: Cyrillic or Greek words come out with Latin letters in them.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gradeloom.operators.pairs import pairs_within
+from gradeloom.operators.pairs import join_hot, pairs_within
 from gradeloom.session import materialize
 
 # Letters of other scripts whose glyphs equal a Latin letter's.
@@ -148,9 +149,7 @@ def _forms(texts: list[str]) -> list[str]:
 
     klass = marks[points]
     at = np.flatnonzero(klass)
-    marked = np.zeros(len(odd), bool)
     if len(at):
-        marked[owner[at]] = True
         run = np.cumsum(klass == 0)[at] + owner[at]  # a mark belongs to the last starter of its own text
         order = np.lexsort((at, klass[at], run))
         points[at] = points[at[order]]
@@ -158,7 +157,7 @@ def _forms(texts: list[str]) -> list[str]:
     bounds = np.searchsorted(owner, np.arange(len(odd) + 1))
     for k, i in enumerate(odd):
         text = points[bounds[k] : bounds[k + 1]].astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
-        out[i] = unicodedata.normalize("NFC", text) if marked[k] else text
+        out[i] = unicodedata.normalize("NFC", text)
     return out
 
 
@@ -209,3 +208,13 @@ def look_alike_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     return pairs_within(materialize(look_keys(docs, key, text), "looks"), "look", "key", "stored").select(
         F.col("id_a").alias(f"{key}_a"), F.col("id_b").alias(f"{key}_b")
     )
+
+
+def look_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, look, documents, forms): one row per key and look of its non-empty text.
+
+    ``look`` is the digest of the common form, ``documents`` how many rows share it, ``forms`` in how many stored forms.
+    """
+    looks = materialize(look_keys(docs, key, text).distinct(), "looks")
+    groups = materialize(looks.groupBy("look").agg(F.count("*").alias("documents"), F.countDistinct("stored").alias("forms")), "groups")
+    return join_hot(looks.select("key", "look").distinct(), groups, ["look"]).select(F.col("key").alias(key), F.hex("look").alias("look"), "documents", "forms")

@@ -2,7 +2,7 @@ import unicodedata
 
 import pytest
 
-from gradeloom.llm.textform import common_forms, look_alike_pairs, normalize_texts, slices
+from gradeloom.llm.textform import common_forms, look_alike_pairs, look_groups, normalize_texts, slices
 
 
 @pytest.mark.parametrize(
@@ -49,3 +49,14 @@ def test_slices():
     assert list(slices([])) == [] and list(slices([5, 5, 5], 10)) == [(0, 2), (2, 3)] and list(slices([50, 1, 50], 10)) == [(0, 1), (1, 2), (2, 3)]
     texts = ["é" * n for n in (3, 700_000, 1, 0, 900_000, 2)]
     assert common_forms(texts) == ["é" * n for n in (3, 700_000, 1, 0, 900_000, 2)]
+
+
+def test_hangul_is_composed_whatever_else_a_text_holds():
+    assert common_forms(["각가"]) == common_forms([unicodedata.normalize("NFD", "각가")]) == ["각가"]
+    assert common_forms([unicodedata.normalize("NFD", "각 é")]) == ["각 é"]
+
+
+def test_groups(frame):
+    rows = [(1, "naïve"), (2, "nai\u0308ve"), (3, "naive"), (4, "naïve"), (5, None), (6, ""), (2, "nai\u0308ve"), (None, "x")]
+    out = {r.doc_id: (r.documents, r.forms) for r in look_groups(frame([(*r, "z") for r in rows], "doc_id long, text string, look string")).collect()}
+    assert out == {1: (3, 2), 2: (3, 2), 3: (1, 1), 4: (3, 2)}
