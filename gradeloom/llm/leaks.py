@@ -3,8 +3,9 @@
 Words of whole Arrow batches are hashed at once over one array of code points. The test texts are taken in blocks
 of bounded size; a block is sent to the workers and every document is tiled against it where it lies, so no
 document text is shuffled and any number of test items is handled. Shared runs of ``tile_words`` words are the
-seeds; seeds on one diagonal join to maximal matches; the longest match that is still free is marked again and
-again, and what is left of a partly covered match competes anew, so passages in another order are all found.
+seeds; seeds on one diagonal join to maximal matches, which are checked word by word; the longest match that is still
+free is marked again and again, and what is left of a partly covered match competes anew, so passages in another order
+are all found. Where both sides repeat one run the seeds are taken as rectangles, a diagonal at a time.
 """
 
 from __future__ import annotations
@@ -26,14 +27,16 @@ from pyspark.sql.pandas.types import to_arrow_type
 from gradeloom.llm.textform import MARKUP, common_forms, slices
 
 TILE_WORDS = 12
-#: Words of test texts that are sent to the workers at once (at most 40 bytes each, with their seeds).
+#: Words of test texts that are sent to the workers at once (about 50 bytes each, with their seeds).
 BLOCK_WORDS = 500_000
 #: Share of a test item that must be covered by tiles for a document to hold the whole of it.
 WHOLE = 0.8
 FILTER_BITS = 22
 
+# Markup of any length; what isn't well formed may also be prose between comparison signs, and is taken off when short.
 _TAG = re.compile(rf"{MARKUP}|</?[A-Za-z][^<>\n]{{0,200}}>")
 _COMMAND = re.compile(r"\\(?!boxed)[A-Za-z]+")
+_WORDS = re.compile(r"[^\W_]+")  # runs of what isalnum says
 _LETTER, _MIX, _RUN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
 _POWERS = np.cumprod(np.full(1024, _LETTER, np.uint64))
 
@@ -98,6 +101,11 @@ def rolling(hashes: np.ndarray, owner: np.ndarray, k: int) -> tuple[np.ndarray,
     return total, owner[:n] == owner[k - 1 :]
 
 
+def words_of(plain: str) -> list[str]:
+    """The words of one text that ``plain_words`` made."""
+    return _WORDS.findall(plain)
+
+
 def tile(matches: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, int]]:
     """Greedy tiling: (start in a, start in b, length) of maximal matches to tiles that don't overlap on either side.
 
@@ -105,43 +113,70 @@ def tile(matches: list[tuple[int, int, int]], least: int) -> list[tuple[int, int
     """
     heap = [(-n, i, p) for i, p, n in matches]
     heapq.heapify(heap)
-    used_a: set[int] = set()
-    used_b: set[int] = set()
+    free_a = np.ones(max((i + n for i, _, n in matches), default=0), bool)
+    free_b = np.ones(max((p + n for _, p, n in matches), default=0), bool)
     tiles = []
     while heap:
         n, i, p = heapq.heappop(heap)
         n = -n
-        free = [x for x in range(n) if i + x not in used_a and p + x not in used_b]
-        if len(free) == n:
+        free = free_a[i : i + n] & free_b[p : p + n]
+        if free.all():
             tiles.append((i, p, n))
-            used_a.update(range(i, i + n))
-            used_b.update(range(p, p + n))
+            free_a[i : i + n] = free_b[p : p + n] = False
             continue
-        begin = 0
-        for x in range(1, len(free) + 1):
-            if x == len(free) or free[x] != free[x - 1] + 1:
-                if x - begin >= least:
-                    heapq.heappush(heap, (-(x - begin), i + free[begin], p + free[begin]))
-                begin = x
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], free, [False])).astype(np.int8)))
+        for begin, end in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            if end - begin >= least:
+                heapq.heappush(heap, (begin - end, i + begin, p + begin))
     return tiles
 
 
-def _maximal(seeds: list[tuple[int, int]], k: int) -> list[tuple[int, int, int]]:
-    """Seeds (place in the document, place in the test text) of k words to maximal matches along their diagonals."""
-    lines: dict[int, list[int]] = defaultdict(list)
-    for i, p in seeds:
-        lines[i - p].append(i)
+def _maximal(rectangles: list[tuple[int, int, int, int]], k: int) -> list[tuple[int, int, int]]:
+    """Seeds of k words to maximal matches along their diagonals.
+
+    A rectangle (place in the document, places from there on, place in the test text, places from there on) stands
+    for the seeds of one run at all of these.
+    """
+    lines: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for i, a, p, b in rectangles:
+        for diagonal in range(i - (p + b - 1), i + a - p):
+            lines[diagonal].append((max(i, p + diagonal), min(i + a, p + b + diagonal)))
     out = []
-    for diagonal, places in lines.items():
-        places = sorted(set(places))
-        begin = 0
-        for x in range(1, len(places) + 1):
-            if x == len(places) or places[x] != places[x - 1] + 1:
-                out.append((places[begin], places[begin] - diagonal, places[x - 1] - places[begin] + k))
-                begin = x
+    for diagonal, parts in lines.items():
+        begin, end = None, None
+        for low, high in sorted(parts):
+            if begin is None or low > end:
+                if begin is not None:
+                    out.append((begin, begin - diagonal, end - begin - 1 + k))
+                begin, end = low, high
+            end = max(end, high)
+        out.append((begin, begin - diagonal, end - begin - 1 + k))
     return out
 
 
+def equal_parts(match: tuple[int, int, int], a: list[str], b: list[str], least: int) -> list[tuple[int, int, int]]:
+    """The parts of a match of hashes whose words are equal, of ``least`` words or more."""
+    i, p, n = match
+    if a[i : i + n] == b[p : p + n]:
+        return [match]
+    out, begin = [], 0
+    for x in range(n + 1):
+        if x == n or a[i + x] != b[p + x]:
+            if x - begin >= least:
+                out.append((i + begin, p + begin, x - begin))
+            begin = x + 1
+    return out
+
+
+def _runs(places: np.ndarray, texts: np.ndarray) -> list[tuple[int, int, int]]:
+    """(text, first place, how many places) of the runs of neighbouring places."""
+    if not len(places):
+        return []
+    breaks = np.flatnonzero((np.diff(places) != 1) | (np.diff(texts) != 0)) + 1
+    starts = np.concatenate(([0], breaks))
+    return list(zip(texts[starts].tolist(), places[starts].tolist(), np.diff(np.concatenate((starts, [len(places)]))).tolist()))
+
+
 def _block(items: list[tuple], k: int) -> dict:
     """The seeds of a block of test items (key, texts...)."""
     texts, home = [], []
@@ -151,6 +186,7 @@ def _block(items: list[tuple], k: int) -> dict:
                 texts.append(part)
                 home.append((n, m))
     hashes, owner = word_hashes(texts)
+    said = [" ".join(words_of(plain)) for plain in plain_words(texts)]
     seeds, valid = rolling(hashes, owner, k)
     at = np.flatnonzero(valid)
     order = at[np.argsort(seeds[at], kind="stable")]
@@ -159,7 +195,7 @@ def _block(items: list[tuple], k: int) -> dict:
     maybe[(seeds[order] >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
     words = np.zeros(len(items), np.int64)
     np.add.at(words, np.array([n for n, _ in home], np.int64)[owner] if len(owner) else np.zeros(0, np.int64), 1)
-    return {"seeds": seeds[order], "text": owner[order], "place": order - first[owner[order]], "home": home, "maybe": maybe, "words": words, "keys": [x[0] for x in items]}
+    return {"seeds": seeds[order], "text": owner[order], "place": order - first[owner[order]], "home": home, "said": said, "maybe": maybe, "words": words, "keys": [x[0] for x in items]}
 
 
 def leaks(
@@ -204,20 +240,29 @@ def _tiler(block, k: int, item_type: pa.DataType):
             names = batch.schema.names
             result: list[tuple] = []
             if len(seeds):
-                hashes, owner = word_hashes(batch.column(1).to_pylist())
+                texts = batch.column(1).to_pylist()
+                hashes, owner = word_hashes(texts)
                 runs, valid = rolling(hashes, owner, k)
                 at = np.flatnonzero(valid & maybe[(runs >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
                 low, high = np.searchsorted(seeds, runs[at], "left"), np.searchsorted(seeds, runs[at], "right")
-                by: dict[int, dict[int, dict[int, list]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(list)))
-                for i, lo, hi in zip(at[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist()):
-                    for s in range(lo, hi):
-                        n, part = home[b["text"][s]]
-                        by[int(owner[i])][n][part].append((i, int(b["place"][s])))
+                hit = high > low
+                by: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))  # document, test text: rectangles
+                for lo, i, a in _runs(at[hit], low[hit]):
+                    hi = int(np.searchsorted(seeds, seeds[lo], "right"))
+                    for text, p, b_places in _runs(b["place"][lo:hi], b["text"][lo:hi]):
+                        by[int(owner[i])][text].append((i, a, p, b_places))
+                first = np.searchsorted(owner, np.arange(len(texts)))
                 for doc in sorted(by):
-                    for n in sorted(by[doc]):
-                        tiles = [t for part in by[doc][n].values() for t in tile(_maximal(part, k), k)]
-                        lengths = [t[2] for t in tiles]
-                        result.append((doc, n, len(tiles), max(lengths), sum(lengths), int(b["words"][n])))
+                    said = words_of(plain_words([texts[doc]])[0])
+                    tiles: dict[int, list] = defaultdict(list)
+                    for text, rectangles in by[doc].items():
+                        own = [(i - int(first[doc]), a, p, n) for i, a, p, n in rectangles]
+                        matches = [m for x in _maximal(own, k) for m in equal_parts(x, said, b["said"][text].split(" "), k)]
+                        tiles[home[text][0]] += tile(matches, k)
+                    for n in sorted(tiles):
+                        lengths = [t[2] for t in tiles[n]]
+                        if lengths:
+                            result.append((doc, n, len(lengths), max(lengths), sum(lengths), int(b["words"][n])))
             which = pa.array([r[0] for r in result], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(which), pa.array([keys[r[1]] for r in result], item_type)]

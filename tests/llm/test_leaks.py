@@ -1,6 +1,6 @@
 import random
 
-from gradeloom.llm.leaks import leaks, plain_words, tile, word_hashes
+from gradeloom.llm.leaks import _maximal, equal_parts, leaks, plain_words, tile, word_hashes, words_of
 
 WORDS = [f"w{i}" for i in range(200)]
 
@@ -76,3 +76,24 @@ def test_tiles_do_not_overlap():
 def test_word_hashes_ignore_dress():
     x, y = word_hashes(["The  CAT, sat!"])[0], word_hashes(["the cat\nsat"])[0]
     assert x.tolist() == y.tolist() and len(x) == 3
+
+
+def test_rectangles_are_all_their_seeds():
+    rng = random.Random(7)
+    for _ in range(50):
+        rectangles = [(rng.randrange(30), rng.randrange(1, 6), rng.randrange(30), rng.randrange(1, 6)) for _ in range(4)]
+        singles = [(i + x, 1, p + y, 1) for i, a, p, b in rectangles for x in range(a) for y in range(b)]
+        assert sorted(_maximal(rectangles, 4)) == sorted(_maximal(singles, 4))
+
+
+def test_words_that_repeat_thousands_of_times(frame):
+    docs = [(1, "na " * 6000 + "batman"), (2, "na " * 11), (3, " ".join(WORDS[:14]))]
+    out = leaks(frame(docs, "doc_id long, text string"), frame([(1, "na " * 4000, "")], "idx long, problem string, solution string")).collect()
+    assert [(r.doc_id, r.longest, r.covered_words) for r in out] == [(1, 4000, 4000)]
+
+
+def test_matches_are_checked_word_by_word():
+    a, b = list("abcdefgh"), list("abcdxfgh")
+    assert equal_parts((0, 0, 8), a, b, 3) == [(0, 0, 4), (5, 5, 3)] and equal_parts((0, 0, 4), a, b, 3) == [(0, 0, 4)]
+    for text in ("The  CAT, sat!", "", "x² 1½ é_ß", "你好 мир-7"):
+        assert len(words_of(plain_words([text])[0])) == len(word_hashes([text])[0])
