@@ -13,7 +13,6 @@ from __future__ import annotations
 import base64
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from itertools import combinations
 from pathlib import Path
 
 import numpy as np
@@ -33,6 +32,8 @@ BLOCK_ITEMS = 4096
 FULL = 0.995
 #: A round that lowers neither the underfull bins nor their texts by this share is the last for bins over half full.
 GAIN = 0.01
+#: Most tasks that blocks are dealt to.
+MAX_TASKS = 20_000
 #: A block has texts for at least so many sequences, however short they are.
 BLOCK_SEQUENCES = 8
 
@@ -84,6 +85,7 @@ def local_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list
     least = -(-sum(sizes) // capacity)
     bins = [list(b) for b in bins]
     stuck: set[int] = set()
+    shapes: set[tuple[int, ...]] = set()  # sizes in bins that no step helps as all bins are now; equal bins share it
     stepped = False  # since no bin was stuck
     fill = [sum(sizes[i] for i in b) for b in bins]
     while sum(1 for b in bins if b) > least:
@@ -96,11 +98,14 @@ def local_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list
             stepped = False
             continue
         e = min(givers, key=lambda k: (fill[k], k))
-        if _improve(e, open_bins, bins, fill, sizes, capacity):
+        shape = tuple(sorted(sizes[i] for i in bins[e]))
+        if shape not in shapes and _improve(e, open_bins, bins, fill, sizes, capacity):
             stepped = True
+            shapes.clear()
             stuck.discard(min((k for k in range(len(bins)) if bins[k]), key=lambda k: (fill[k], k)))  # the one to be emptied
         else:
             stuck.add(e)
+            shapes.add(shape)
     return [b for b in bins if b]
 
 
@@ -122,40 +127,63 @@ def _improve(e: int, open_bins: list[int], bins, fill, sizes, capacity) -> bool:
         fill[k] += more
         return True
 
-    mine = sorted(bins[e], key=lambda i: (-sizes[i], i))
+    mine = np.array(sorted(bins[e], key=lambda i: (-sizes[i], i)), np.int64)
+    own = np.array([sizes[i] for i in mine.tolist()], np.int64)
     gap = {k: capacity - fill[k] for k in others}
     by_gap = sorted(others, key=lambda k: (gap[k], k))
-    for i in mine:  # a move into the fullest bin with room
-        for k in by_gap:
-            if gap[k] >= sizes[i]:
-                return shift(k, (i,), ())
+    gaps = np.array([gap[k] for k in by_gap], np.int64)
+    fits = np.flatnonzero(own <= gaps[-1])
+    if len(fits):  # a move of the largest that fits anywhere into the fullest bin with room
+        i = int(fits[0])
+        return shift(by_gap[int(np.searchsorted(gaps, own[i]))], (int(mine[i]),), ())
     item = np.array([i for k in others for i in bins[k]], np.int64)
-    home = np.array([k for k in others for _ in bins[k]], np.int64)
+    home = np.repeat(np.array(others, np.int64), [len(bins[k]) for k in others])
     size = np.array([sizes[i] for i in item.tolist()], np.int64)
     room = np.array([gap[k] for k in home.tolist()], np.int64)
-
-    def swap(give: tuple[int, ...]) -> bool:
-        gain = sum(sizes[i] for i in give) - size
-        gain = np.where((gain > 0) & (gain <= room), gain, 0)
+    # what may come for some item: more than its size, at most so much more as its bin has room
+    bounds = np.zeros(capacity + 2, np.int64)
+    np.add.at(bounds, size + 1, 1)
+    np.add.at(bounds, size + room + 1, -1)
+    comes = np.cumsum(bounds) > 0
+
+    def swap(give: tuple[int, ...], total: int) -> bool:
+        gain = np.where((total > size) & (total - size <= room), total - size, 0)
         at = int(gain.argmax())
-        return bool(gain[at]) and shift(int(home[at]), give, (int(item[at]),))
-
-    for i in mine:  # one for one
-        if swap((i,)):
-            return True
-    for pair in combinations(mine, 2):  # two for one
-        if swap(pair):
-            return True
+        return shift(int(home[at]), give, (int(item[at]),))
+
+    one = np.flatnonzero(comes[own])
+    if len(one):  # one for one
+        return swap((int(mine[one[0]]),), int(own[one[0]]))
+    x, y = np.triu_indices(len(mine), 1)
+    both = own[x] + own[y]
+    two = np.flatnonzero(comes[np.minimum(both, capacity + 1)])
+    if len(two):  # two for one
+        return swap((int(mine[x[two[0]]]), int(mine[y[two[0]]])), int(both[two[0]]))
+    largest, smallest = int(own[0]), int(own[-1])
     for k in others:  # one for two
-        two = [(sizes[x] + sizes[y], x, y) for x, y in combinations(bins[k], 2)]
-        for i in mine:
-            good = [(s, x, y) for s, x, y in two if 0 < sizes[i] - s <= gap[k]]
-            if good:
-                _, x, y = min(good)
-                return shift(k, (i,), (x, y))
+        if len(bins[k]) < 2:
+            continue
+        there = sorted(bins[k], key=lambda i: (sizes[i], i))
+        if sizes[there[0]] + sizes[there[1]] >= largest or sizes[there[-1]] + sizes[there[-2]] + gap[k] < smallest:
+            continue
+        pairs = _pair_sums([sizes[i] for i in there])
+        for i, n in zip(mine.tolist(), own.tolist()):
+            at = bisect_left(pairs, (n - gap[k],))
+            if at < len(pairs) and pairs[at][0] < n:
+                return shift(k, (i,), (there[pairs[at][1]], there[pairs[at][2]]))
     return False
 
 
+def _pair_sums(sizes: list[int]) -> list[tuple[int, int, int]]:
+    """(sum, place, place) of all pairs, sorted."""
+    if len(sizes) <= 16:
+        return sorted((x + y, i, j) for i, x in enumerate(sizes) for j, y in enumerate(sizes[i + 1 :], i + 1))
+    x, y = np.triu_indices(len(sizes), 1)
+    both = np.array(sizes)[x] + np.array(sizes)[y]
+    order = np.argsort(both, kind="stable")
+    return list(zip(both[order].tolist(), x[order].tolist(), y[order].tolist()))
+
+
 def pack(sizes: DataFrame, key: str, capacity: int, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """(sequence_id, place, key, piece, token_start, n_tokens) from (key, n_tokens): every token in one sequence.
 
@@ -179,7 +207,8 @@ def pack(sizes: DataFrame, key: str, capacity: int, block_items: int = BLOCK_ITE
         items, tokens = left.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
         blocks = max(1, min(-(-items // block_items), tokens // (BLOCK_SEQUENCES * capacity)))
         dealt = left.withColumn("_block", F.pmod(F.xxhash64(F.lit(turn), key, "piece"), F.lit(blocks)))
-        packed = materialize(dealt.groupBy("_block").applyInPandas(_filler(key, capacity, turn, schema.names), schema), "packed")
+        tasks = min(blocks, MAX_TASKS)  # a stated number, which adaptive execution leaves alone
+        packed = materialize(dealt.repartition(tasks, "_block").groupBy("_block").applyInPandas(_filler(key, capacity, turn, schema.names), schema), "packed")
         if blocks == 1:
             return out.unionByName(packed.drop("_fill"))
         stays = F.col("_fill") < FULL * capacity
