@@ -60,22 +60,22 @@ def plain_words(texts: list[str]) -> list[str]:
     return out
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, index of the text it stands in), over all texts in order."""
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(hash of each word, index of the text it stands in, plain form of each text), over all texts in order."""
     parts = [(a, *_hashes(texts[a:b])) for a, b in slices(map(len, texts))]
     if not parts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate([h for _, h, _ in parts]), np.concatenate([owner + a for a, _, owner in parts])
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+    return np.concatenate([h for _, h, _, _ in parts]), np.concatenate([owner + a for a, _, owner, _ in parts]), [t for *_, plain in parts for t in plain]
 
 
-def _hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
     plain = plain_words(texts)
     points = np.frombuffer("\n".join(plain).encode("utf-32-le", "surrogatepass"), np.uint32)
     inside = _letters_and_digits()[points]
     edges = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), plain
     sizes = ends - starts
     first = np.cumsum(sizes) - sizes
     place = np.arange(sizes.sum()) - np.repeat(first, sizes)
@@ -85,7 +85,7 @@ def _hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     hashes *= _MIX
     hashes ^= hashes >> np.uint64(32)
     until = np.cumsum([len(t) + 1 for t in plain])
-    return hashes, np.searchsorted(until, starts, side="right")
+    return hashes, np.searchsorted(until, starts, side="right"), plain
 
 
 def rolling(hashes: np.ndarray, owner: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -185,8 +185,8 @@ def _block(items: list[tuple], k: int) -> dict:
             if part:
                 texts.append(part)
                 home.append((n, m))
-    hashes, owner = word_hashes(texts)
-    said = [" ".join(words_of(plain)) for plain in plain_words(texts)]
+    hashes, owner, plain = word_hashes(texts)
+    said = [" ".join(words_of(t)) for t in plain]
     seeds, valid = rolling(hashes, owner, k)
     at = np.flatnonzero(valid)
     order = at[np.argsort(seeds[at], kind="stable")]
@@ -241,19 +241,21 @@ def _tiler(block, k: int, item_type: pa.DataType):
             result: list[tuple] = []
             if len(seeds):
                 texts = batch.column(1).to_pylist()
-                hashes, owner = word_hashes(texts)
+                hashes, owner, plain = word_hashes(texts)
                 runs, valid = rolling(hashes, owner, k)
                 at = np.flatnonzero(valid & maybe[(runs >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
                 low, high = np.searchsorted(seeds, runs[at], "left"), np.searchsorted(seeds, runs[at], "right")
                 hit = high > low
                 by: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))  # document, test text: rectangles
+                last = dict(zip(low[hit].tolist(), high[hit].tolist()))
                 for lo, i, a in _runs(at[hit], low[hit]):
-                    hi = int(np.searchsorted(seeds, seeds[lo], "right"))
-                    for text, p, b_places in _runs(b["place"][lo:hi], b["text"][lo:hi]):
+                    hi = last[lo]
+                    where = [(int(b["text"][lo]), int(b["place"][lo]), 1)] if hi == lo + 1 else _runs(b["place"][lo:hi], b["text"][lo:hi])
+                    for text, p, b_places in where:
                         by[int(owner[i])][text].append((i, a, p, b_places))
                 first = np.searchsorted(owner, np.arange(len(texts)))
                 for doc in sorted(by):
-                    said = words_of(plain_words([texts[doc]])[0])
+                    said = words_of(plain[doc])
                     tiles: dict[int, list] = defaultdict(list)
                     for text, rectangles in by[doc].items():
                         own = [(i - int(first[doc]), a, p, n) for i, a, p, n in rectangles]
