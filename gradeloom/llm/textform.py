@@ -66,12 +66,17 @@ def _decomposed(ch: str) -> str:
 
 @functools.lru_cache(maxsize=1)
 def _tables() -> tuple[np.ndarray, ...]:
-    """(special, start, length, target, class): the mapping of each code point, built once in each worker."""
+    """(special, start, length, target, class, joins): the mapping of each code point, built once in each worker.
+
+    ``joins`` tells what may be composed with a character before it: marks, vowels and finals of Hangul and some more.
+    """
     top = 0x110000
     alike = {ord(c): ord(to) for to, froms in LOOK_ALIKES.items() for c in froms}
     special = np.zeros(top, bool)
     start, length = np.zeros(top, np.int32), np.ones(top, np.int32)
     marks = np.zeros(top, np.uint8)
+    joins = np.zeros(top, bool)
+    joins[0x1161:0x1176] = joins[0x11A8:0x11C3] = True
     target: list[int] = []
 
     def put(cp: int, to: list[int]) -> None:
@@ -84,6 +89,9 @@ def _tables() -> tuple[np.ndarray, ...]:
             continue
         ch = chr(cp)
         marks[cp] = unicodedata.combining(ch)
+        spec = unicodedata.decomposition(ch)
+        if " " in spec and not spec.startswith("<"):
+            joins[int(spec.split()[1], 16)] = True
         if unicodedata.category(ch) == "Zs":
             put(cp, [0x20])
             continue
@@ -96,7 +104,7 @@ def _tables() -> tuple[np.ndarray, ...]:
     for low, high in INVISIBLE:
         for cp in range(low, high + 1):
             put(cp, [])
-    return special, start, length, np.array(target or [0], np.uint32), marks
+    return special, start, length, np.array(target or [0], np.uint32), marks, joins
 
 
 def is_plain(text: str) -> bool:
@@ -129,7 +137,7 @@ def common_forms(texts: list[str]) -> list[str]:
 def _forms(texts: list[str]) -> list[str]:
     odd = range(len(texts))
     out = list(texts)
-    special, start, length, target, marks = _tables()
+    special, start, length, target, marks, joins = _tables()
     raw = [np.frombuffer(texts[i].replace("\r\n", "\n").encode("utf-32-le", "surrogatepass"), np.uint32) for i in odd]
     sizes = np.array([len(r) for r in raw], np.int64)
     points = np.concatenate(raw)
@@ -154,10 +162,12 @@ def _forms(texts: list[str]) -> list[str]:
         order = np.lexsort((at, klass[at], run))
         points[at] = points[at[order]]
 
+    composed = np.zeros(len(odd), bool)
+    composed[owner[joins[points]]] = True
     bounds = np.searchsorted(owner, np.arange(len(odd) + 1))
     for k, i in enumerate(odd):
         text = points[bounds[k] : bounds[k + 1]].astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
-        out[i] = unicodedata.normalize("NFC", text)
+        out[i] = unicodedata.normalize("NFC", text) if composed[k] else text
     return out
 
 
