@@ -63,10 +63,18 @@ def stable_order(rows: DataFrame, salt: str, ids: Sequence[str], tie: Sequence[s
 
 
 def token_deciles(rows: DataFrame, field: str, key: str, to: str) -> DataFrame:
-    """Add min(9, floor(10 rank / n)) of the rank by (field, key) from 0; not the same as ntile(10)."""
-    ranked = global_rank(rows, [F.col(field).cast("long"), F.col(key).cast("string")], "_rank")
+    """Add min(9, floor(10 rank / n)) of the rank by (field, key) from 0; not the same as ntile(10). Nulls come first.
+
+    Only field and key are ordered; the nine rows at which a decile begins are then compared with every row where it
+    lies. Rows that are equal in both have one decile.
+    """
+    value, name = F.col(field).cast("long"), F.col(key).cast("string")
+    ranked = global_rank(rows.select(value.alias("_v"), name.alias("_key")), ["_v", "_key"], "_rank")
     n = ranked.count()
-    return ranked.withColumn(to, F.least(F.lit(9), F.floor(10 * F.col("_rank") / max(1, n))).cast("int")).drop("_rank")
+    begins = [r for i in range(1, 10) if (r := -(-i * n // 10)) < n]
+    edge = {r["_rank"]: r for r in ranked.where(F.col("_rank").isin(begins)).collect()}
+    reached = [F.when(F.struct(value.alias("v"), name.alias("k")) >= F.struct(F.lit(edge[r]["_v"]).cast("long").alias("v"), F.lit(edge[r]["_key"]).cast("string").alias("k")), 1).otherwise(0) for r in begins]
+    return rows.withColumn(to, sum(reached, F.lit(0)))
 
 
 def seeded_permutation(n: int, seed: int) -> array:

@@ -15,15 +15,15 @@ BROADCAST_KEYS = 1_000_000
 HOT_ROWS = 200_000
 
 
-def join_hot(rows: DataFrame, keys: DataFrame, on: Sequence[str], how: str = "inner", most: int = BROADCAST_KEYS) -> DataFrame:
+def join_hot(rows: DataFrame, keys: DataFrame, on: Sequence[str], how: str = "inner", most: int = BROADCAST_KEYS, known: int | None = None) -> DataFrame:
     """Join with ``keys``, a written table of short rows that has each key once; a key may have any number of ``rows``.
 
     Up to ``most`` keys are sent to the workers, so the rows stay where they lie. Beyond that only the hot keys are
     sent, of which there are at most as many as ``HOT_ROWS`` goes into the number of rows; all others are joined by a
-    shuffle. ``how``: inner, left or left_semi; null keys match nothing.
+    shuffle. ``how``: inner, left or left_semi; null keys match nothing. ``known``: the number of keys, if known.
     """
     on = list(on)
-    if keys.count() <= most:
+    if (keys.count() if known is None else known) <= most:
         return rows.join(F.broadcast(keys), on, how)
     hot = materialize(rows.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_ROWS).select(*on), "hot")
     if hot.isEmpty():

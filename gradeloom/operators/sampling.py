@@ -35,51 +35,56 @@ def hamilton_quota(rows: DataFrame, n: int, fields: Sequence[str]) -> DataFrame:
         raise ValueError(f"cannot take {n} rows from {total}")
     exact = F.lit(float(n)) * F.col("size") / F.lit(float(max(1, total)))
     sizes = sizes.withColumn("_base", F.floor(exact)).withColumn("_rest", exact - F.floor(exact))
-    given = sizes.agg(F.sum("_base")).first()[0] or 0
     order = [F.desc("_rest"), F.desc("stratum")]
     if strata <= WINDOW_ROWS:  # one short row each
-        placed = sizes.withColumn("_place", F.row_number().over(Window.orderBy(*order)))
+        placed = sizes.withColumn("_place", F.row_number().over(Window.orderBy(*order))).withColumn("_given", F.sum("_base").over(Window.partitionBy(F.lit(0))))
     else:
-        placed = global_rank(sizes, order, "_place", 1)
-    return placed.withColumn("quota", F.col("_base") + F.when(F.col("_place") <= n - given, 1).otherwise(0)).drop("_base", "_rest", "_place")
+        placed = global_rank(sizes, order, "_place", 1).withColumn("_given", F.lit(sizes.agg(F.sum("_base")).first()[0]))
+    return placed.withColumn("quota", F.col("_base") + F.when(F.col("_place") <= n - F.col("_given"), 1).otherwise(0)).drop("_base", "_rest", "_place", "_given")
 
 
-def _firsts(rows: DataFrame, quota: DataFrame, key: str, salt: Column) -> DataFrame:
-    """The rows of each stratum ``_s`` that are first in its salted order, as many as ``_q`` says, with their ``_r`` from 1.
+def _firsts(rows: DataFrame, quota: DataFrame, key: str, salt: Column) -> tuple[list[DataFrame], int]:
+    """(two ways to the rows of each stratum ``_s`` that are first in its salted order, ``_q`` of them with their ``_r`` from 1; their number).
 
-    ``quota`` (_s, _size, _q) is written. Digests are evenly spread, so rows far beyond the quota's share are dropped
-    before any are ordered; should that leave a stratum short, all are looked at.
+    ``quota`` has (_s, _size, _q). Digests are evenly spread, so the first way drops rows far beyond the quota's share
+    before any are ordered; should that leave a stratum short, the second looks at all.
     """
-    keyed = join_hot(rows, quota.where("_q > 0"), ["_s"]).withColumn("_k", stable_key(salt, F.col(key)))
-    largest, wanted = quota.agg(F.coalesce(F.max("_q"), F.lit(0)), F.coalesce(F.sum(F.least("_q", "_size")), F.lit(0))).first()
+    strata, largest, wanted = quota.agg(F.count("*"), F.coalesce(F.max("_q"), F.lit(0)), F.coalesce(F.sum(F.least("_q", "_size")), F.lit(0))).first()
+    keyed = join_hot(rows, quota.where("_q > 0"), ["_s"], known=strata).withColumn("_k", stable_key(salt, F.col(key)))
     bound = (F.col("_q") + 8 * F.sqrt(F.col("_q").cast("double")) + 30) / F.col("_size")
-    for near in (keyed.where(digest_share("_k") <= bound), keyed):
-        found = materialize(rank_within(near, "_s", ["_k", key], largest, "_r").where("_r <= _q").drop("_k", "_q", "_size"), "firsts")
-        if found.count() == wanted:
-            return found
-    return found
+    return [rank_within(near, "_s", ["_k", key], largest, "_r").where("_r <= _q").drop("_k", "_q", "_size") for near in (keyed.where(digest_share("_k") <= bound), keyed)], wanted
 
 
 def proportional_take(rows: DataFrame, n: int, fields: Sequence[str], salt: str, key: str = "row_hash") -> DataFrame:
     """n rows, each stratum with its quota of the rows first in its salted order, and their final ``position``."""
-    quota = materialize(hamilton_quota(rows, n, fields).select(F.col("stratum").alias("_s"), F.col("size").alias("_size"), F.col("quota").alias("_q")), "quota")
-    chosen = _firsts(rows.withColumn("_s", stratum(fields)), quota, key, F.concat(F.lit(salt + ":"), F.col("_s")))
-    return stable_order(chosen.drop("_s", "_r"), salt + ":final", [key])
+    quota = hamilton_quota(rows, n, fields).select(F.col("stratum").alias("_s"), F.col("size").alias("_size"), F.col("quota").alias("_q"))
+    ways, wanted = _firsts(rows.withColumn("_s", stratum(fields)), quota, key, F.concat(F.lit(salt + ":"), F.col("_s")))
+    for chosen in ways:
+        out = stable_order(chosen.drop("_s", "_r"), salt + ":final", [key])
+        if out.count() == wanted:
+            break
+    return out
 
 
 def stratified_take(rows: DataFrame, n: int, fields: Sequence[str], salt: str, key: str = "row_hash") -> DataFrame:
     """n rows round-robin over the strata in the order of their canonical keys, with their ``position``."""
     keyed = rows.withColumn("_s", stratum(fields))
     sizes = materialize(keyed.groupBy("_s").agg(F.count("*").alias("_size")), "sizes")
-    low, high = 0, sizes.agg(F.coalesce(F.max("_size"), F.lit(0))).first()[0]
-    while low < high:  # the turns in which n rows are reached
-        middle = (low + high) // 2
-        if (sizes.agg(F.sum(F.least("_size", F.lit(middle)))).first()[0] or 0) >= n:
-            high = middle
-        else:
-            low = middle + 1
-    turns = _firsts(keyed, sizes.withColumn("_q", F.least("_size", F.lit(high))), key, F.lit(salt)).withColumnRenamed("_r", "_turn")
-    return global_rank(turns, ["_turn", "_s"], "position").where(F.col("position") < n).drop("_s", "_turn")
+    reached = before = high = 0  # turns in which n rows are reached; n rows have fewer than sqrt(2 n) different sizes
+    found = sizes.groupBy("_size").count().sort("_size").collect()
+    left = sum(strata for _, strata in found)
+    for size, strata in found:
+        high = size
+        if reached + left * (size - before) >= n:
+            high = before + -(-(n - reached) // left)
+            break
+        reached, before, left = reached + left * (size - before), size, left - strata
+    ways, wanted = _firsts(keyed, sizes.withColumn("_q", F.least("_size", F.lit(high))), key, F.lit(salt))
+    for turns in ways:
+        out = global_rank(turns, ["_r", "_s"], "position")
+        if out.count() == wanted:
+            break
+    return out.where(F.col("position") < n).drop("_s", "_r")
 
 
 def bin_quotas(available: dict[str, int], target: int) -> dict[str, int]:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.functions.text import has_repetition_loop
+from gradeloom.operators.audit import duplicate_keys, require_empty
 
 
 def distribution(rows: DataFrame, fields: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -86,6 +87,25 @@ def paired_outcomes(pairs: DataFrame, base: str, treat: str, by: Sequence[str] =
     return out.withColumn("discordant", F.col("improved") + F.col("regressed")).withColumn("p", mcnemar_p(F.col("improved"), F.col("regressed")))
 
 
+def paired_runs(base: DataFrame, runs: DataFrame, key: str, outcome: str, question: str | None = None, seed: str = "seed") -> DataFrame:
+    """(key, seed, base, treat): every run's outcome beside the base's, after the keys are proved equal.
+
+    Each seed must have exactly the items of the base, once each, and where ``question`` is given the same value of
+    it; what doesn't close raises with examples.
+    """
+    require_empty(duplicate_keys(base, [key]), "repeated items of the base")
+    require_empty(duplicate_keys(runs, [seed, key]), "repeated items of a run")
+    seeds = runs.select(seed).distinct()
+    wanted = base.select(key).crossJoin(F.broadcast(seeds))  # a seed is one run: a handful
+    require_empty(wanted.join(runs, [seed, key], "left_anti"), "items a run lacks")
+    require_empty(runs.join(base, key, "left_anti"), "items the base lacks")
+    asked = [F.col(question).alias("_asked")] if question else []
+    joined = runs.select(key, seed, F.col(outcome).alias("treat"), *[F.col(question).alias("_answered")] * bool(question)).join(base.select(key, F.col(outcome).alias("base"), *asked), key)
+    if question:
+        require_empty(joined.where(~F.col("_asked").eqNullSafe(F.col("_answered"))), "questions that differ")
+    return joined.select(key, seed, "base", "treat")
+
+
 def clusters(deltas: DataFrame, key: str, delta: str = "delta") -> DataFrame:
     """(key, value, place): the mean over the seeds of each item, in the order of its key as a string."""
     from gradeloom.operators.ordering import global_rank

@@ -269,6 +269,15 @@ def truncation_audit(spark: SparkSession, d: str) -> DataFrame:
     return counts.join(first, "arm")
 
 
+@query
+def box_tails(spark: SparkSession, d: str) -> DataFrame:
+    """How many answers over 30 words lose their box if they are cut after the 30th."""
+    rows = table(spark, d, "dm_large_train").select("train_idx", "answer").distinct().where("answer is not null")
+    words = F.split("answer", " ")
+    kept = F.length(F.array_join(F.slice(words, 1, 30), " "))
+    return rows.groupBy((F.size(words) > 30).alias("cut"), boxes.box_lost(F.col("answer"), kept).alias("box_lost")).agg(F.count("*").alias("n"))
+
+
 def _by(part: str, order: str):
     from pyspark.sql import Window
 

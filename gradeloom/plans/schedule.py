@@ -26,6 +26,23 @@ def with_strata(prepared: DataFrame, low: float = 4.0, high: float = 8.0) -> Dat
     return materialize(rows.withColumn("difficulty_bucket", difficulty_bucket(F.col("difficulty"))), "strata")
 
 
+def checked_strata(prepared: DataFrame, held_out: DataFrame, low: float = 4.0, high: float = 8.0, longest: int = 2048) -> DataFrame:
+    """``with_strata`` of a corpus that is proved fit for it; what isn't raises with examples.
+
+    Rows, questions and families come once each, token counts are positive and not over ``longest``, and neither a
+    question nor a family of the range is among the held-out items.
+    """
+    tokens = ["prompt_tokens", "assistant_tokens", "train_tokens"]
+    audit.require_columns(prepared, ["row_hash", "question_hash", "family_hash", "difficulty", "topic", *tokens])
+    audit.require_empty(audit.uniqueness(prepared, ["row_hash", "question_hash", "family_hash"]).where("not is_unique"), "repeated rows, questions or families")
+    audit.require_empty(audit.out_of_range(prepared, tokens, low=1), "token counts that are missing or not positive")
+    audit.require_empty(audit.out_of_range(prepared, ["train_tokens"], high=longest), "rows over the limit")
+    rows = prepared.where((F.col("difficulty") >= low) & (F.col("difficulty") < high))
+    for c in ("question_hash", "family_hash"):
+        audit.require_empty(audit.shared_keys(rows, held_out, c, c), f"held-out items in the corpus by {c}")
+    return with_strata(prepared, low, high)
+
+
 def replay_families(replay: DataFrame, manifest: DataFrame) -> DataFrame:
     """The replay pool with the family of each row, as recorded in a schedule."""
     known = manifest.where("source_family_hash is not null").groupBy(F.col("source_row_hash").alias("row_hash")).agg(F.min("source_family_hash").alias("family_hash"))

@@ -179,6 +179,9 @@ SQL: dict[str, str] = {
       FROM prepared_corpus""",
     "prompts": rf"""SELECT train_idx, sha256({_PROMPT} || question) AS prompt_sha256, substr(sha1(replace({_PROMPT}, '{{}}', '{{{{}}}}') || '{{q}}'), 1, 12) AS version,
         regexp_replace(regexp_replace(lower(question), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM {_Q}""",
+    "box_tails": rf"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS id, answer AS t FROM (SELECT DISTINCT train_idx, answer FROM dm_large_train) WHERE answer IS NOT NULL), {_BOXES},
+      f AS (SELECT id, min(closing) AS first_end FROM boxes GROUP BY id), w AS (SELECT id, len(string_split(t, ' ')) AS words, length(array_to_string(string_split(t, ' ')[1:30], ' ')) AS kept FROM v)
+      SELECT words > 30 AS cut, coalesce(first_end > kept, false) AS box_lost, count(*) AS n FROM w LEFT JOIN f USING (id) GROUP BY 1, 2""",
     "token_windows": f"""WITH r AS (SELECT train_idx, {_WORDS.format(c='question')} AS p, {_WORDS.format(c='answer')} AS c FROM (SELECT DISTINCT * FROM dm_large_train))
       SELECT train_idx, sha256(CAST(to_json(CASE WHEN len(p) <= 32 THEN p ELSE p[-32:] END) AS VARCHAR)) AS prompt_digest, CAST(CASE WHEN len(p) > 32 THEN 0 ELSE 1 END AS INT) AS expected_bos,
         sha256(CAST(to_json(list_concat(p, c)[1:96]) AS VARCHAR)) AS ids_digest, sha256(CAST(to_json(list_concat(list_transform(p, lambda x: CAST(-100 AS BIGINT)), c)[1:96]) AS VARCHAR)) AS labels_digest,

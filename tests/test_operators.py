@@ -183,6 +183,28 @@ def test_schedule_report(frame):
     assert {tuple(r) for r in S.recorded_differences(report, {"rows": 4, "train_tokens": 10, "kept": 2}).collect()} == {("train_tokens", 9, 10), ("kept", None, 2)}
 
 
+def test_runs_pair_only_if_they_close(frame):
+    schema = "idx long, seed int, right int, q string"
+    base, runs = frame([(1, None, 0, "a"), (2, None, 1, "b")], schema).drop("seed"), frame([(1, 7, 1, "a"), (2, 7, 1, "b"), (1, 8, 0, "a"), (2, 8, 0, "b")], schema)
+    assert {tuple(r) for r in stats.paired_runs(base, runs, "idx", "right", "q").collect()} == {(1, 7, 0, 1), (2, 7, 1, 1), (1, 8, 0, 0), (2, 8, 1, 0)}
+    for broken in (runs.where("not (idx = 2 and seed = 8)"), runs.unionByName(frame([(3, 7, 1, "c")], schema)), runs.unionByName(runs.limit(1)), runs.withColumn("q", F.lit("a"))):
+        with pytest.raises(audit.Violation):
+            stats.paired_runs(base, broken, "idx", "right", "q")
+
+
+def test_strata_of_a_checked_corpus(frame):
+    from gradeloom.plans.schedule import checked_strata
+
+    schema = "row_hash string, question_hash string, family_hash string, topic string, difficulty double, prompt_tokens int, assistant_tokens int, train_tokens int"
+    rows = [(f"r{i}", f"q{i}", f"f{i}", "t", 4.0 + i % 5, 5, 5 + i, 10 + i) for i in range(20)]
+    dev = frame([("q99", "f99")], "question_hash string, family_hash string")
+    assert checked_strata(frame(rows, schema), dev).count() == 16
+    for bad in (rows + [("x", "q1", "fx", "t", 5.0, 5, 5, 5)], rows + [("x", "qx", "fx", "t", 5.0, 0, 5, 5)], rows + [("x", "qx", "fx", "t", 5.0, 5, 5, 5000)], rows + [("x", "q99", "fx", "t", 5.0, 5, 5, 5)], rows + [("x", "qx", "f99", "t", 5.0, 5, 5, 5)]):
+        with pytest.raises(audit.Violation):
+            checked_strata(frame(bad, schema), dev)
+    assert checked_strata(frame(rows + [("x", "q99", "fx", "t", 9.0, 5, 5, 5)], schema), dev).count() == 16  # outside the range
+
+
 def test_corpus_sizes():
     from gradeloom.plans.schedule import corpus_sizes
 

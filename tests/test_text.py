@@ -71,6 +71,11 @@ def test_boxes():
     assert boxes.box_content("x \\boxed{ 3 }") == "3" and boxes.box_content("") == ""
 
 
+def test_box_lost(frame):
+    rows = frame([("x \\boxed{1} y", 4), ("x \\boxed{1} y", 11), ("none", 1), (None, 1)], "t string, n int")
+    assert [r[0] for r in rows.select(boxes.box_lost(F.col("t"), F.col("n"))).collect()] == [True, False, False, False]
+
+
 def test_final_section(frame):
     draft = "long\n**Final Answer**\n\n12\n\nPolished solution.\n\nMore."
     assert boxes.final_section(draft) == ("Polished solution.\n\nMore.", 1, "12", 5)
@@ -135,7 +140,7 @@ def test_small_functions(frame):
     assert one(frame, "Some/Model Name!", text.slug) == "some-model-name" and len(one(frame, "x" * 99, text.capped_slug)) == 64
     assert one(frame, "\n a \n b\n", text.first_line) == "a" and one(frame, "\n a \n b\n", text.last_line) == "b" and one(frame, "", text.last_line) is None
     assert one(frame, "q", lambda c: text.prompt_version()) == "28557dc5b760"
-    assert text.data_tag("deepmath-a b/c.", "deepmath-") == "a-b-c" and text.data_tag("") == "run" and len(text.data_tag("x" * 30)) == 20
+    assert text.data_tag("corpus-a b/c.", "corpus-") == "a-b-c" and text.data_tag("") == "run" and len(text.data_tag("x" * 30)) == 20
     assert text.run_slug([("dm-", "tag"), ("lr", 2e-05), ("s", 42)]) == "dm-tag-lr2e-05-s42"
     with pytest.raises(ValueError):
         text.run_slug([("", "x" * 65)])
