@@ -74,7 +74,7 @@ def test_raked_as_tables_like_on_the_driver(frame, monkeypatch):
 
 
 def test_arms_do_not_trade_rows(frame):
-    rows = frame([(arm, i, s, "t", 0, 40 + (i * 7 + len(s)) % 60, "x", "y") for arm in "ab" for s, low, n in (("one", 0, 400), ("two", 400, 300)) for i in range(low, low + n) for s in (s + arm,)], ROWS)
+    rows = frame([(arm, i, s + arm, "t", 0, 40 + i * 7 % 60, "x", "y") for arm in "ab" for s, low, n in (("one", 0, 400), ("two", 400, 300)) for i in range(low, low + n)], ROWS)
     plan = mixing.mix(rows, frame([(arm, s + arm, share, 3) for arm in "ab" for s, share in (("one", 0.3), ("two", 0.7))], MIX))
     for r in plan.shares(plan.rows()).collect():
         assert abs(r.share_of_pool - r.target_share) < 0.008
