@@ -246,6 +246,8 @@ def filtered(pairs: DataFrame, signed: DataFrame) -> DataFrame:
 def _links(pairs: DataFrame, signed: DataFrame, source: DataFrame) -> DataFrame:
     """The candidate pairs (a, b) of nodes that hold, written."""
     left = materialize(filtered(pairs, signed).where("by_pivots and by_distance").select("a", "b"), "survivors")
+    if left.isEmpty():
+        return left
     ends = left.select(F.col("a").alias("node")).union(left.select(F.col("b").alias("node"))).distinct()
     keys = materialize(_pick(signed, materialize(ends, "ends"), "node").select("key", "node", "text_id"), "keys")
     forms = _normal_forms(_pick(source, materialize(keys.select("key").distinct(), "keys"), "key")).groupBy("text_id").agg(F.min("normal").alias("normal"))
@@ -285,14 +287,17 @@ def _grouped(rows: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame
     parts = materialize(join_hot(buckets, component, ["node"], "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("part")), "parts")
     across = pairs_within(parts, "bucket", "node", "part", carry=["n"], keep="7 * abs(n_a - n_b) <= n_a + n_b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
     more = materialize(across.join(star, ["a", "b"], "left_anti"), "across")
-    all_links = materialize(links.unionByName(_links(more, signed, source)), "links")
-    discard(buckets, leads, star, links, component, parts, more, signed)
-    component = connected_components(all_links)
+    added = _links(more, signed, source)
+    all_links = links.unionByName(added)
+    if not added.isEmpty():
+        component = connected_components(all_links)
 
     ends = all_links.select(F.col("a").alias("node")).unionByName(all_links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
     named = nodes.select(F.col("node").alias("component"), F.col("text_id").alias("group"))
     linked = component.join(ends, "node").join(nodes, "node").join(named, "component").select("text_id", "group", "links")
-    return every.select("key", "text_id"), materialize(linked, "linked")
+    linked = materialize(linked, "linked")
+    discard(buckets, leads, star, links, parts, more, signed, added)
+    return every.select("key", "text_id"), linked
 
 
 def near_duplicates(rows: DataFrame, key: str = "train_idx", text: str = "question") -> DataFrame:
