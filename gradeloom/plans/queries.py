@@ -132,8 +132,9 @@ def nearest_dev_problem(spark: SparkSession, d: str) -> DataFrame:
 @query
 def similar_questions(spark: SparkSession, d: str) -> DataFrame:
     """All pairs of distinct normalised questions with a Jaccard score of 0.75 or more, each by its first record."""
-    firsts = _questions(spark, d).groupBy(text.question_hash("question").alias("h")).agg(F.min(F.struct("train_idx", "question")).alias("s")).select("s.*")
-    pairs = similarity.similar_pairs(firsts, firsts, "train_idx", "train_idx", "question", "question", 0.75)
+    rows = spread(table(spark, d, "dm_large_train").select("train_idx", "question")).select("train_idx", text.normalize_question("question").alias("t"))
+    firsts = rows.groupBy("t").agg(F.min("train_idx").alias("train_idx"))
+    pairs = similarity.similar_pairs(firsts, firsts, "train_idx", "train_idx", "t", "t", 0.75, normal=True)
     return pairs.where("probe < ref").select(F.col("probe").alias("train_idx_a"), F.col("ref").alias("train_idx_b"), F.round("score", 9).alias("score"))
 
 

@@ -10,6 +10,7 @@ from gradeloom.operators import audit, ordering, pairs, sampling, similarity, st
 from gradeloom.operators import schedule as S
 from gradeloom.operators.graph import connected_components
 from gradeloom.operators.pairs import pairs_within
+from gradeloom.session import materialize
 
 
 def corpus(rng, n):
@@ -368,6 +369,28 @@ def test_similar_pairs_lose_none(frame, measure):
     assert best[0].ref == 100 and best[201].score == 0.0 and best[201].ref is None
 
 
+@pytest.mark.parametrize("same", [True, False])
+def test_jaccard_pairs_of_texts_with_common_pieces(frame, same, monkeypatch):
+    """Texts of few sentences, so that every piece is in very many; none is lost and no rejected pair is written."""
+    rng = random.Random(9)
+    sentences = ["".join(rng.choices("abcdefghé ", k=50)) for _ in range(10)]
+    texts = [" ".join(rng.sample(sentences, 5)) + f" {rng.randrange(100)}" for _ in range(150)]
+    texts += [t[: (at := rng.randrange(len(t)))] + "zzz" + t[at + rng.choice([0, 3, 40]) :] for t in texts[:60]]
+    texts += ["abc", "abd", "wort für wort " * 20, "".join(rng.choices("abcdefgh", k=2000)), "".join(rng.choices("abcdefgh", k=700))]
+    texts += [texts[-2][:1700] + "y" * 30, texts[-1][20:], ""]
+    rows = [(i, " ".join(t.split())) for i, t in enumerate(texts)]
+    grams = [{t[i : i + 5] for i in range(max(1, len(t) - 4))} if t else set() for _, t in rows]
+    want = {(a, b): len(x & y) / len(x | y) for a, x in enumerate(grams) for b, y in enumerate(grams) if x and y and 4 * len(x & y) >= 3 * len(x | y)}
+    sent = []
+    monkeypatch.setattr(similarity, "SKETCH_BLOCK", 60)
+    monkeypatch.setattr(similarity, "SCANS_AT_ONCE", 2)
+    monkeypatch.setattr(similarity, "materialize", lambda df, name="step": sent.append((name, out := materialize(df, name))) or out)
+    df = frame(rows, "k long, t string")
+    got = {(r.probe, r.ref): r.score for r in similarity.similar_pairs(df, df if same else df.select("k", "t"), "k", "k", "t", "t", 0.75).collect()}
+    assert got == want
+    assert sum(out.count() for name, out in sent if name not in ("texts", "sketches")) < 4 * len(want) + 4 * len(rows)
+
+
 def test_nearest_vectors(frame):
     rows = [(i, [math.cos(i), math.sin(i)]) for i in range(20)] + [(50, [0.0, 0.0]), (51, None)]
     got = similarity.nearest_vectors(frame(rows, "vec_id long, embedding array<double>").where("vec_id < 3"), frame(rows, "vec_id long, embedding array<double>"), 2)
